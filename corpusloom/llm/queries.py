@@ -3,12 +3,32 @@
 from __future__ import annotations
 
 from corpusloom.llm.common import table
+from corpusloom.llm.op2_chunks import encode_decode
+from corpusloom.llm.op4_quality import quality_scores
+from corpusloom.llm.op5_packing import pack
 from corpusloom.llm.op8_binary import op8_binary_tokens
+from corpusloom.llm.op10_rules import quality_rules
+
+
+def op2_chunks(spark, sf_dir):
+    return encode_decode(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_packing(spark, sf_dir):
+    return pack(spark, table(spark, sf_dir, "documents"))
 
 
 def op8_binary(spark, sf_dir):
     return op8_binary_tokens(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_binary,)}
+def op10_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_chunks, op4_quality, op5_packing, op8_binary, op10_rules)}
 SQL: dict[str, str] = {}
