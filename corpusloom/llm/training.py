@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The fit's bounds: rows of each label at most, and bytes of a text at most (longer ones are scored, not fitted on).
-ROWS_PER_LABEL, TEXT_CHARS = 1500, 20_000
+ROWS_PER_LABEL, TEXT_CHARS = 2000, 20_000
 
 
 def held_out(doc_id) -> F.Column:
