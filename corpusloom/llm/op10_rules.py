@@ -28,7 +28,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Least share of words in content lines.
 CONTENT_SHARE = 0.5
 #: Weight of label 1 in the fit: a clean line lost costs more than a bad one kept.
-KEEP = 0.85
+KEEP = 0.7
 
 LOWER, UPPER, DIGIT, MARK, PIPE, BANG, POINT, SPACE, TAIL, WIDE, OTHER = range(11)
 
@@ -228,9 +228,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, RESULT)
 
 
-def keep_by_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_by_rules(docs: DataFrame, sample: list[tuple[str, int]]) -> DataFrame:
     """The rows of ``docs``, all columns, that the rules and the content share keep."""
-    model = fit(labelled_sample(docs, labels))
+    model = fit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):

@@ -259,3 +259,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, pe
     of_row = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return of_row.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``docs``, all columns, with one document of each group of near-duplicates: the least doc_id's.
+
+    Several rows of a kept doc_id become one; rows without a doc_id all stay.
+    """
+    kept = near_duplicates(spark, docs, width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    some = docs.where("doc_id is not null")
+    one = some.join(kept, some["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null"))

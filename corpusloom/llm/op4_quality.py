@@ -144,9 +144,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_quality(docs: DataFrame, sample: list[tuple[str, int]], threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores at least ``threshold``. No join: the text is scored in place."""
-    model = fit(labelled_sample(docs, labels))
+    model = fit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, limit=2 << 20):

@@ -127,7 +127,7 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
     return out
 
 
-ROW = "doc_id long, rid long, counts array<long>, base_sha256 string, base array<struct<k:int,s:long,e:long>>, near array<struct<entity:long,term:long,s:long,e:long>>, text_hash long, terms binary, docs binary, total long"
+ROW = "rid long, counts array<long>, base_sha256 string, base array<struct<k:int,s:long,e:long>>, near array<struct<entity:long,term:long,s:long,e:long>>, text_hash long, terms binary, docs binary, total long"
 
 
 def _term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,27 +148,33 @@ def _term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(n.keys(), np.int64, len(n)), np.fromiter(n.values(), np.int64, len(n))
 
 
-def _scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Pass 1: a row per document with its spans and contexts, and rows of term counts (``terms`` set)."""
+def _scan(docs: DataFrame) -> DataFrame:
+    """Pass 1 over all columns of ``docs`` (kept as the struct ``row``): a row per document with its spans and contexts,
+    and rows of term counts (``terms`` set). ``rid`` numbers the rows as written, so later joins agree on it."""
     near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("s", pa.int64()), ("e", pa.int64())]))
     span = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int64()), ("e", pa.int64())]))
-    names = ["doc_id", "rid", "counts", "base_sha256", "base", "near", "text_hash", "terms", "docs", "total"]
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), span, near, pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+    names = ["row", "rid", "counts", "base_sha256", "base", "near", "text_hash", "terms", "docs", "total"]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.string(), span, near, pa.int64(), pa.binary(), pa.binary(), pa.int64()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, "_text"):
             rows = []
             for t in texts:
                 base = base_spans(t)
                 found = contexts(t, base)
                 n = [sum(k == i for k, _, _ in base) for i in range(4)]
                 rows.append((n, hashlib.sha256(join_spans(base).encode()).hexdigest(), [{"k": k, "s": a, "e": b} for k, a, b in base], [{"entity": x, "term": y, "s": a, "e": b} for x, y, a, b in found], _hash(t), None, None, None))
-            yield pa.RecordBatch.from_arrays([field(batch, "doc_id"), field(batch, "rid"), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds[2:], strict=True))], names=names)
+            row = field(batch, "row")
+            yield pa.RecordBatch.from_arrays([row, field(batch, "rid"), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds[1:], strict=True))], names=names)
             terms, many = _term_counts(texts)
-            last = (None, None, None, None, None, None, None, terms.astype("<i8").tobytes(), many.astype("<i4").tobytes(), len(texts))
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(last, kinds, strict=True)], names=names)
+            last = (None, None, None, None, None, None, terms.astype("<i8").tobytes(), many.astype("<i4").tobytes(), len(texts))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, row.type), *(pa.array([x], k) for x, k in zip(last, kinds, strict=True))], names=names)
 
-    return docs.mapInArrow(scan, ROW)
+    from pyspark.sql import types as S
+
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("_text"))
+    schema = S.StructType([S.StructField("row", rows.schema["row"].dataType, True), *S._parse_datatype_string(ROW).fields])
+    return rows.mapInArrow(scan, schema)
 
 
 def disclosing(scanned: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -191,19 +197,57 @@ def disclosing(scanned: DataFrame, disclosure: float = DISCLOSURE, support: int
     return pairs.join(per_term, "term").join(with_entity, "entity").where(share >= disclosure).select("entity", "term")
 
 
-def find_personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (columns rid and doc_id): counts, base hash, and all spans as an array and a string."""
-    scratch = Scratch(spark, "op9")
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("rid", F.monotonically_increasing_id())
-    scanned = scratch.write(_scan(rows, []), "scanned")
+_MARK = "array<struct<k:int,s:bigint,e:bigint>>"
+
+
+def _with_marks(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """Pass 1's rows with ``found``: base spans and disclosing terms, by kind and start. Only rows near an entity are joined."""
+    scanned = scratch.write(_scan(docs), "scanned")
     pairs = scratch.write(disclosing(scanned), "pairs")
     per_doc = scanned.where("terms is null")
     marks = per_doc.where("size(near) > 0").select("rid", F.explode("near").alias("x")).select("rid", "x.entity", "x.term", "x.s", "x.e").join(pairs, ["entity", "term"], "left_semi")
     marks = marks.groupBy("rid").agg(F.collect_set(F.struct(F.lit(4).alias("k"), "s", "e")).alias("marks"))  # at most 2 * SPAN_WORDS a span of the document
-    out = per_doc.join(marks, "rid", "left")
-    found = F.array_sort(F.concat("base", F.coalesce("marks", F.array().cast("array<struct<k:int,s:bigint,e:bigint>>"))))
+    plain = per_doc.where("size(near) = 0").withColumn("marks", F.array().cast(_MARK))
+    joined = per_doc.where("size(near) > 0").join(marks, "rid", "left").withColumn("marks", F.coalesce("marks", F.array().cast(_MARK)))
+    return plain.unionByName(joined).withColumn("found", F.array_sort(F.concat("base", "marks")))
+
+
+def find_personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, counts, base hash, and all spans as a string and as an array."""
+    out = _with_marks(Scratch(spark, "op9"), docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").select("doc_id", "text"))
     names = F.array(*map(F.lit, KINDS))
-    text = F.transform(found, lambda z: F.concat_ws(":", F.get(names, z["k"]), z["s"].cast("string"), z["e"].cast("string")))
+    text = F.transform("found", lambda z: F.concat_ws(":", F.get(names, z["k"]), z["s"].cast("string"), z["e"].cast("string")))
     counts = [F.col("counts")[i].alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    shown = F.transform(found, lambda z: F.struct(F.get(names, z["k"]).alias("kind"), z["s"].alias("start"), z["e"].alias("end")))
-    return out.select("rid", "doc_id", *counts, "base_sha256", F.array_join(text, ",").alias("spans"), F.coalesce(F.size("marks"), F.lit(0)).cast("long").alias("n_term"), shown.alias("found"))
+    shown = F.transform("found", lambda z: F.struct(F.get(names, z["k"]).alias("kind"), z["s"].alias("start"), z["e"].alias("end")))
+    return out.select("row.doc_id", *counts, "base_sha256", F.array_join(text, ",").alias("spans"), F.size("marks").cast("long").alias("n_term"), shown.alias("found"))
+
+
+def clean_text(text: str, found: list[tuple[int, int, int]]) -> str:
+    """Spans replaced: base kinds by <KIND>, capitalised terms by <NAME>, other terms by <TERM>; overlapping spans by the first's."""
+    out, at = [], 0
+    for a, b, k in sorted((a, -b, k) for k, a, b in found):
+        b = -b
+        if a >= at:
+            mark = KINDS[k].upper() if k < 4 else "NAME" if text[a : a + 1].isupper() else "TERM"
+            out += [text[at:a], f"<{mark}>"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def sanitise(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs``, all rows and columns, with personal data and disclosing terms replaced (``n_chars`` follows the text)."""
+    marked = _with_marks(Scratch(spark, "op9s"), docs)
+    dirty = marked.where("size(found) > 0").select("row", F.col("row.text").alias("_text"), "found")
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "_text"):
+            spans = field(batch, "found").to_pylist()
+            new = [clean_text(t, [(z["k"], z["s"], z["e"]) for z in f]) for t, f in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([field(batch, "row"), pa.array(new, pa.string())], names=["row", "new_text"])
+
+    from pyspark.sql import types as S
+
+    schema = S.StructType([S.StructField("row", dirty.schema["row"].dataType, True), S.StructField("new_text", S.StringType(), True)])
+    new = {"text": F.col("new_text")} | ({"n_chars": F.length("new_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    cleaned = dirty.mapInArrow(rewrite, schema).select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return marked.where("size(found) = 0").select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).unionByName(cleaned)

@@ -57,7 +57,7 @@ def op8_binary(spark, sf_dir):
 
 
 def op9_pii(spark, sf_dir):
-    return find_personal_data(spark, table(spark, sf_dir, "documents")).drop("rid", "found")
+    return find_personal_data(spark, table(spark, sf_dir, "documents")).drop("found")
 
 
 def op10_rules(spark, sf_dir):
