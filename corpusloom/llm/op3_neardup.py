@@ -6,10 +6,12 @@
 3. Each class is posted under its coordinate-value pairs. Two texts of similarity 0.8 agree in a coordinate with
    probability 0.41; agreement in two is asked for, so by the prefix rule the first 31 of 32 coordinates suffice
    (a pair of similarity 0.8 is missed with probability 1e-6). Lists with the same members are merged once.
-4. Each list is split into blocks (by a hash of the member, from the list's count), and pairs of blocks are counted:
-   a member taken as pivot is compared with the others, pairs that agree in MATCHES of the 128 minima survive (0.8
-   falls short with probability 1e-6), and members already tied to a group are skipped as pivots. What leaves a
-   block is a spanning set of surviving pairs, never all pairs.
+4. Collisions are counted on whole signatures: a pair survives if it agrees in MATCHES of the 128 minima (0.8 falls
+   short with probability 1e-6). First every member of a list meets the list's least member, and components of
+   surviving pairs tie most of a list together. Members so tied are skipped: of a list with several groups left, only
+   members outside its largest group are compared with the others, block against block (blocks by a hash of the
+   member). No surviving pair between two groups of a list goes unseen, and a list of n members of which s are left
+   costs n + s * n / 512 rows; what leaves a block is a spanning set of pairs, never all.
 5. Components of surviving pairs are families. The texts of families of two classes or more are read again and
    their full sets compared, blocks of 64 against blocks of 64, by integer intersection counts: exactly the pairs
    with 100 * intersection >= 80 * union are links. Components of links give the answer.
@@ -122,31 +124,22 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield rest, np.array([0, rest.num_rows])
 
 
-def survivors(sig: np.ndarray, need: int = MATCHES) -> list[tuple[int, int]]:
-    """A spanning set of the pairs of rows that agree in ``need`` minima.
+def survivors(pivots: np.ndarray, others: np.ndarray, pivot_group: np.ndarray, other_group: np.ndarray, need: int = MATCHES) -> list[tuple[int, int]]:
+    """Of the pairs (pivot, other) of different groups that agree in ``need`` minima, enough to join the same groups."""
+    root: dict[int, int] = {}
 
-    Every row becomes a pivot or is tied to one; then all rows outside the largest group are compared with all
-    others, so no surviving pair between two groups goes unseen.
-    """
-    m = len(sig)
-    group, out, tied, seen = np.arange(m), [], np.zeros(m, bool), np.zeros(m, bool)
-
-    def compare(p: int) -> None:
-        seen[p] = True
-        near = np.flatnonzero((sig == sig[p]).sum(1) >= need)
-        tied[near] = True
-        for r in near[np.unique(group[near], return_index=True)[1]]:
-            if group[r] != group[p]:
+    def find(g: int) -> int:
+        while root.get(g, g) != g:
+            g = root[g]
+        return g
+
+    out = []
+    for p in range(len(pivots)):
+        for r in np.flatnonzero((others == pivots[p]).sum(1) >= need):
+            a, b = find(int(pivot_group[p])), find(int(other_group[r]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
                 out.append((p, int(r)))
-                group[group == group[r]] = group[p]
-
-    for p in range(m):
-        if not tied[p]:
-            compare(p)
-    names, size = np.unique(group, return_counts=True)
-    if len(names) > 1:
-        for p in np.flatnonzero((group != names[size.argmax()]) & ~seen):
-            compare(int(p))
     return out
 
 
@@ -183,18 +176,25 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["u", "v"])
 
 
-def _count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, MINIMA)
+
+
+def _count_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        same = (_signatures(field(batch, "su")) == _signatures(field(batch, "sv"))).sum(1) >= MATCHES
+        yield batch.select(["u", "v"]).filter(pa.array(same))
+
+
+def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t, bounds in _groups(batches, ["post", "i", "j"]):
-        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u2").reshape(-1, MINIMA)
-        rep = t.column("rep").to_numpy()
+        sig, rep, group = _signatures(t.column("signature")), t.column("rep").to_numpy(), t.column("grp").to_numpy()
+        pivot = t.column("pivot").to_numpy().astype(bool)
         ends = np.append(bounds[1:], t.num_rows) if bounds[-1] != t.num_rows else bounds[1:]
         pairs = []
         for a, b in zip(bounds[: len(ends)].tolist(), ends.tolist(), strict=True):
-            if b - a == 2:
-                if int((sig[a] == sig[a + 1]).sum()) >= MATCHES:
-                    pairs.append((rep[a], rep[a + 1]))
-            elif b - a > 2:
-                pairs += [(rep[a + p], rep[a + q]) for p, q in survivors(sig[a:b])]
+            p, o = a + np.flatnonzero(pivot[a:b]), a + np.flatnonzero(~pivot[a:b])
+            pairs += [(rep[p[x]], rep[o[y]]) for x, y in survivors(sig[p], sig[o], group[p], group[o])]
         if pairs:
             yield _edges(pairs)
 
@@ -223,6 +223,21 @@ def _block_pairs(df: DataFrame, blocks: F.Column) -> DataFrame:
     return df.withColumn("own", own).withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other")
 
 
+def _count_rest(scratch: Scratch, members: DataFrame, tied: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Surviving pairs between the groups that are left in each list: members outside the list's largest group against all."""
+    grouped = members.join(tied.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep", "left").select("post", "rep", F.coalesce("grp", "rep").alias("grp"))
+    sizes = grouped.groupBy("post", "grp").agg(F.count("*").alias("n")).groupBy("post").agg(F.sum("n").alias("n"), F.max_by("grp", F.struct("n", "grp")).alias("main"), F.max("n").alias("top")).where("n > top")
+    left = scratch.write(grouped.join(sizes.select("post", "n", "main", (F.col("n") - F.col("top")).alias("s")), "post").join(signatures, "rep"), "left")
+    blocks, pivot_blocks = F.ceil(F.col("n") / LIST_BLOCK), F.ceil(F.col("s") / LIST_BLOCK)
+    at = lambda k: F.pmod(F.xxhash64("rep"), k)
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
+    cols = ["post", "i", "j", "rep", "grp", "pivot", "signature"]
+    pivots = left.where("grp <> main").withColumns({"i": at(pivot_blocks), "pivot": F.lit(1)}).withColumn("j", every(blocks)).select(*cols)
+    others = left.withColumns({"j": at(blocks), "pivot": F.lit(0)}).withColumn("i", every(pivot_blocks)).select(*cols)
+    both = pivots.unionByName(others)
+    return both.repartition("post", "i", "j").sortWithinPartitions("post", "i", "j").mapInArrow(_count_blocks, _EDGES)
+
+
 def _with_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
@@ -242,12 +257,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, pe
     posts = classes.select("rep", F.explode("posts").alias("post"))
     lists = posts.groupBy("post").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("n > 1")
     lists = scratch.write(lists.groupBy("n", "lo", "hi", "who").agg(F.min("post").alias("post")), "lists")
-    two = lists.where("n = 2").select("post", "n", F.explode(F.array("lo", "hi")).alias("rep"))
-    more = posts.join(lists.where("n > 2").select("post", "n"), "post").select("post", "n", "rep")
-    members = _block_pairs(two.unionByName(more), F.ceil(F.col("n") / LIST_BLOCK)).select("post", "i", "j", "rep")
-    members = members.join(classes.select("rep", "signature"), "rep").select("post", "i", "j", "rep", "signature")
-    pairs = members.repartition("post", "i", "j").sortWithinPartitions("post", "i", "j").mapInArrow(_count_lists, _EDGES)
-    family = components(scratch, pairs, "families")
+    more = scratch.write(posts.join(lists.where("n > 2").select("post", "lo"), "post").select("post", "lo", "rep"), "members")
+    stars = lists.where("n = 2").select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(more.where("rep <> lo").select(F.col("rep").alias("u"), F.col("lo").alias("v"))).distinct()
+    of = classes.select("rep", "signature")
+    stars = stars.join(of.select(F.col("rep").alias("u"), F.col("signature").alias("su")), "u").join(of.select(F.col("rep").alias("v"), F.col("signature").alias("sv")), "v")
+    pairs = scratch.write(stars.select("u", "v", "su", "sv").mapInArrow(_count_stars, _EDGES), "stars")
+    rest = _count_rest(scratch, more.select("post", "rep"), components(scratch, pairs, "tied"), of)
+    family = components(scratch, pairs.unionByName(rest), "families")
     family = scratch.write(family.withColumnRenamed("node", "rep").withColumnRenamed("component", "family").join(classes.groupBy("rep").agg(F.sum("n_shingles").alias("n_shingles")), "rep"), "family")
     blocks = family.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES)).alias("blocks"))
     wanted = family.select("rep", "family").join(blocks, "family")
