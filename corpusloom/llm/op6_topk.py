@@ -3,10 +3,10 @@
 Vectors are turned into integers floor(256 x). Each task packs its rows into shards of at most SHARD vectors and its
 queries into blocks of at most BLOCK; every shard meets every block of queries once (an equi-join on a slot number
 over these packed rows, a stated query set against all rows). In a shard each dimension has its list of rows by
-value. For a query the lists are read in parallel, from the top where its component is positive and from the bottom where it
-is negative; rows seen are scored in full, and reading stops once the bound (the query times the values at the
-lists' heads) is below the k-th score found. Each shard gives a query k rows at most, and a ranking with a limit
-before the shuffle merges them.
+value. A block's queries read the lists together, from the top where a component is positive and from the bottom
+where it is negative; rows seen are scored in full for all queries still reading, and a query stops once its bound
+(the query times the values at the lists' heads) is below its k-th score. Each shard gives a query k rows at most,
+and a ranking with a limit before the shuffle merges them.
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part, nor do null vec_ids; vectors
 of different lengths aren't compared; a vec_id that occurs in several rows counts once, with its best score, and is
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,17 +42,22 @@ def _pack(limit: int):
             return pa.RecordBatch.from_arrays([pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.array(rows, "<i4").tobytes()], pa.binary()), pa.array([dims], pa.int32())], names=["ids", "rows", "dims"])
 
         for batch in batches:
-            for i, v in zip(field(batch, "vec_id").to_pylist(), field(batch, "embedding").to_pylist(), strict=True):
-                if i is None or not v or any(x is None for x in v):
+            lists = field(batch, "embedding")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = pc.list_flatten(lists)
+            good = (pc.fill_null(pc.is_finite(flat.cast(pa.float64())), False)).to_numpy(zero_copy_only=False)
+            x = np.floor(SCALE * np.nan_to_num(pc.fill_null(flat.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False), posinf=0, neginf=0))
+            first = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+            bad = np.concatenate(([0], np.cumsum(~good)))
+            ok = (size > 0) & (bad[first[1:]] == bad[first[:-1]])
+            for k, i in enumerate(field(batch, "vec_id").to_pylist()):
+                if i is None or not ok[k]:
                     continue
-                x = np.array(v, np.float64)
-                if not np.isfinite(x).all():
-                    continue
-                ids, rows = held.setdefault(len(v), ([], []))
+                ids, rows = held.setdefault(int(size[k]), ([], []))
                 ids.append(i)
-                rows.append(np.floor(SCALE * x))
+                rows.append(x[first[k] : first[k + 1]])
                 if len(ids) >= limit:
-                    yield out(len(v))
+                    yield out(int(size[k]))
         for dims in list(held):
             yield out(dims)
 
@@ -59,60 +65,79 @@ def _pack(limit: int):
 
 
 class Shard:
-    """Vectors with a list per dimension, sorted by value."""
+    """Vectors with a list per dimension, sorted by value. Rows of the same vec_id are taken as different ones."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows.astype(np.int64)
         self.exact = self.rows.astype(np.float64)  # sums below 2**53 are exact
         self.order = np.argsort(self.rows, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(self.rows, self.order, 0)
+        self.sorted = np.take_along_axis(self.exact, self.order, 0)
 
-    def top(self, query: np.ndarray, own: int, k: int = TOP) -> list[tuple[int, int]]:
-        """(score, vec_id) of the k best rows, distinct vec_ids, own id apart; ties to the smaller vec_id."""
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int = TOP) -> tuple[list[np.ndarray], int]:
+        """For each query the row numbers of its k best rows (own id apart, ties to the smaller vec_id); rows read."""
         n, dims = self.rows.shape
-        use = np.flatnonzero(query)
-        up = query[use] > 0
+        m = len(queries)
+        q = queries.astype(np.float64)
+        best: list[np.ndarray] = [np.empty(0, np.int64)] * m
+        score: list[np.ndarray] = [np.empty(0)] * m
+        kth = np.full(m, -np.inf)
         fresh = np.ones(n, bool)
-        best: dict[int, int] = {}
-        at, step = 0, STEP
-        while True:
+        active, at, step = np.arange(m), 0, STEP
+        while len(active) and at < n:
             end = min(n, at + step)
             ranks = np.arange(at, end)
-            seen = np.concatenate((self.order[n - 1 - ranks][:, use[up]].ravel(), self.order[ranks][:, use[~up]].ravel())) if len(use) else np.arange(n)
+            up, down = (q[active] > 0).any(0), (q[active] < 0).any(0)
+            seen = np.concatenate((self.order[n - 1 - ranks][:, up].ravel(), self.order[ranks][:, down].ravel()))
+            if end == n or not len(seen):
+                seen, end = np.arange(n), n  # a zero query's bound is 0 throughout: every row counts
             new = np.unique(seen[fresh[seen]])
             fresh[new] = False
-            if len(new):
-                score = (self.exact[new] @ query.astype(np.float64)).astype(np.int64)
-                if len(best) >= k:
-                    low = min(best.values())
-                    new, score = new[score >= low], score[score >= low]
-                for i, s in zip(self.ids[new].tolist(), score.tolist(), strict=True):
-                    if i != own and best.get(i, s - 1) < s:
-                        best[i] = s
-                if len(best) > k:
-                    best = {i: s for s, i in sorted(((s, i) for i, s in best.items()), key=lambda x: (-x[0], x[1]))[:k]}
+            found = q[active] @ self.exact[new].T
+            found[self.ids[new][None, :] == own[active][:, None]] = -np.inf
+            if len(new) > k:
+                floor = np.maximum(kth[active], np.partition(found, len(new) - k, axis=1)[:, len(new) - k])
+            else:
+                floor = kth[active]
+            hit = (found >= floor[:, None]) & (found > -np.inf)
+            for x in np.flatnonzero(hit.any(1)):
+                a = active[x]
+                rows, s = np.concatenate((best[a], new[hit[x]])), np.concatenate((score[a], found[x, hit[x]]))
+                keep = np.lexsort((self.ids[rows], -s))[:k]
+                best[a], score[a] = rows[keep], s[keep]
+                if len(keep) == k:
+                    kth[a] = s[keep][-1]
             at, step = end, 2 * step
-            if at >= n or not len(use):
-                break
-            heads = np.where(up, self.sorted[n - 1 - at, use], self.sorted[at, use])
-            if len(best) >= k and int((heads * query[use]).sum()) < min(best.values()):
-                break
-        return sorted(((s, i) for i, s in best.items()), key=lambda x: (-x[0], x[1]))
+            if at < n:
+                high, low = self.sorted[n - 1 - at], self.sorted[at]
+                bound = np.maximum(q[active], 0) @ high + np.minimum(q[active], 0) @ low
+                active = active[bound >= kth[active]]
+        return best, int(n - fresh.sum())
+
+
+def distinct_ids(ids: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Parts of a shard in which no vec_id occurs twice (one part where none does)."""
+    order = np.argsort(ids, kind="stable")
+    first = np.concatenate(([True], ids[order][1:] != ids[order][:-1]))
+    run = np.arange(len(ids)) - np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))
+    return [(ids[order][run == r], rows[order][run == r]) for r in range(int(run.max(initial=0)) + 1)]
 
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, shard = None, None
+        last, shards = None, []
         for batch in batches:
             for r in batch.to_pylist():
                 dims = r["dims"]
-                key = (r["ids"], r["rows"])
-                if key != last_key:
-                    last_key, shard = key, Shard(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["rows"], "<i4").reshape(-1, dims))
-                queries = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_rows"], "<i4").reshape(-1, dims).astype(np.int64)
-                out = [(int(q), i, s) for q, v in zip(*queries, strict=True) for s, i in shard.top(v, int(q), k)]
-                cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3
-                yield pa.RecordBatch.from_arrays(cols, names=["query_id", "vec_id", "score"])
+                if (r["ids"], r["rows"]) != last:
+                    last = (r["ids"], r["rows"])
+                    shards = [Shard(*x) for x in distinct_ids(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["rows"], "<i4").reshape(-1, dims))]
+                own, queries = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_rows"], "<i4").reshape(-1, dims).astype(np.int64)
+                for shard in shards:
+                    best, _ = shard.top(queries, own, k)
+                    who = np.repeat(np.arange(len(own)), [len(b) for b in best])
+                    rows = np.concatenate(best) if best else np.empty(0, np.int64)
+                    score = (queries[who] * shard.rows[rows]).sum(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[who]), pa.array(shard.ids[rows]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return run
 
