@@ -15,10 +15,10 @@ from corpusloom.llm.op4_quality import keep_quality
 from corpusloom.llm.op5_packing import pack
 from corpusloom.llm.op9_pii import sanitise
 from corpusloom.llm.op10_rules import keep_by_rules
-from corpusloom.llm.training import labelled_sample
+from corpusloom.llm.training import Sample, labelled_sample
 
 
-def _sample(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+def _sample(spark: SparkSession, sf_dir: str) -> Sample:
     return labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusloom.llm.common import Words, field, mix64, slices
-from corpusloom.llm.training import Adam, labelled_sample
+from corpusloom.llm.training import Adam, Sample, labelled_sample
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Least share of words in content lines.
@@ -218,7 +218,7 @@ RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    model = fit(labelled_sample(docs, labels))
+    model = fit(labelled_sample(docs, labels).rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
@@ -228,9 +228,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, RESULT)
 
 
-def keep_by_rules(docs: DataFrame, sample: list[tuple[str, int]]) -> DataFrame:
+def keep_by_rules(docs: DataFrame, sample: Sample) -> DataFrame:
     """The rows of ``docs``, all columns, that the rules and the content share keep."""
-    model = fit(sample)
+    model = fit(sample.rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import field, slices
-from corpusloom.llm.training import Adam, held_out, labelled_sample
+from corpusloom.llm.training import Adam, Sample, held_out, labelled_sample
 
 THRESHOLD = 0.3
 EMBED, STEP, FILTERS = 6, 4, 24
 #: Weight of label 1 in the fit: a clean document lost costs more than a bad one kept.
-KEEP = 0.6
+KEEP = 0.65
 #: Filter positions in half a chunk: 32 x 4 = 128 bytes.
 HALF = 32
 
@@ -48,7 +48,7 @@ class _Layout:
         self.spot = np.delete(self.spot, first[1:] - 1)
         halves = -(-spots // HALF)
         self.half_first = np.concatenate(([0], np.cumsum(halves)))
-        doc_of_half = np.repeat(np.arange(len(texts)), halves)
+        self.doc_of_half = doc_of_half = np.repeat(np.arange(len(texts)), halves)
         spot_first = np.concatenate(([0], np.cumsum(spots)))
         self.half_spot = spot_first[doc_of_half] + HALF * (np.arange(len(doc_of_half)) - self.half_first[doc_of_half])
         last = np.zeros(len(doc_of_half), bool)
@@ -91,9 +91,9 @@ def _grads(w: dict, z: _Layout, y: np.ndarray, weight: np.ndarray) -> dict:
     d = ((f["p"] - y) * weight / weight.sum()).astype(np.float32)
     g = {"bias": d.sum(keepdims=True), "out": np.hstack((f["top"], f["mean"])).T @ d}
     d_top, d_mean = d[:, None] * w["out"][:FILTERS], d[:, None] * w["out"][FILTERS:] / z.chunks
-    doc = z.doc_of_chunk
-    d_chunk = d_mean[doc] + np.where(f["chunk"] == f["top"][doc], d_top[doc], 0)
-    d_half = np.zeros_like(f["half"])
+    d_chunk = d_mean[z.doc_of_chunk]
+    # the largest chunk's value is that of its larger half, which two chunks share: it counts once
+    d_half = np.where(f["half"] == f["top"][z.doc_of_half], d_top[z.doc_of_half], 0)
     here = f["half"][z.chunk_half] >= f["half"][z.chunk_next]
     np.add.at(d_half, z.chunk_half, np.where(here, d_chunk, 0))
     np.add.at(d_half, z.chunk_next, np.where(here, 0, d_chunk))
@@ -108,8 +108,12 @@ def _grads(w: dict, z: _Layout, y: np.ndarray, weight: np.ndarray) -> dict:
     return g
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 10, batch: int = 48, rate: float = 0.015, seed: int = 20_004) -> dict:
-    """Weights fitted on (text, label) rows; label 1 has the share KEEP of the weight."""
+def fit(rows: list[tuple[str, int]], share: float | None = None, steps: int = 840, batch: int = 48, rate: float = 0.02, seed: int = 20_004) -> dict:
+    """Weights fitted on (text, label) rows; label 1 has the share KEEP of the weight.
+
+    With ``share`` (of label 1 among all labels) the bias is corrected from the fit's weights to that share, so that the
+    score is a probability for the table's documents.
+    """
     y = np.array([q for _, q in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return {"constant": float(y.mean()) if len(y) else 1.0}
@@ -117,13 +121,21 @@ def fit(rows: list[tuple[str, int]], epochs: int = 10, batch: int = 48, rate: fl
     weight = np.where(y == 1, KEEP / (y == 1).sum(), (1 - KEEP) / (y == 0).sum())
     w, r = initial(seed), np.random.default_rng(seed)
     adam = Adam(w, rate)
+    epochs = -(-steps // -(-len(texts) // batch))
+    mean, n = {k: np.zeros(v.shape) for k, v in w.items()}, 0
     for e in range(epochs):
-        adam.rate = rate * (1 - e / epochs)
+        adam.rate = rate * (1 - 0.9 * e / epochs)
         order = r.permutation(len(texts))
         for a in range(0, len(order), batch):
             k = order[a : a + batch]
             adam.step(_grads(w, _Layout([texts[i] for i in k]), y[k], weight[k]))
-    return w
+            if e >= epochs // 2:  # the mean of the second half's weights is steadier than the last ones
+                n += 1
+                for name in mean:
+                    mean[name] += (w[name] - mean[name]) / n
+    if share is not None and 0 < share < 1:
+        mean["bias"] += np.log(share / (1 - share)) - np.log(KEEP / (1 - KEEP))
+    return {name: v.astype(np.float32) for name, v in mean.items()}
 
 
 def classify(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
@@ -140,13 +152,13 @@ def classify(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Fit on the labelled sample, score every document."""
-    scored = classify(docs, fit(labelled_sample(docs, labels)), threshold)
+    scored = classify(docs, fit(*labelled_sample(docs, labels)), threshold)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-def keep_quality(docs: DataFrame, sample: list[tuple[str, int]], threshold: float = THRESHOLD) -> DataFrame:
+def keep_quality(docs: DataFrame, sample: Sample, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores at least ``threshold``. No join: the text is scored in place."""
-    model = fit(sample)
+    model = fit(*sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, limit=2 << 20):

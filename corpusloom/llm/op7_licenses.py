@@ -17,6 +17,8 @@ empty table gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def template_table(docs: DataFrame, templates: dict[str, str] | None = None) ->
     """(licence, term, weight) with unit norm per licence, and ``idf`` of the term. As many rows as the templates have terms."""
     spark = docs.sparkSession
     rows = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "licence string, notice string")
-    n = rows.count()
+    n = len(templates or TEMPLATES)
     tf = rows.select("licence", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf"))
     idf = tf.groupBy("term").agg((F.log(F.lit(1.0 + n) / (1 + F.count("*"))) + 1).alias("idf"))
     raw = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
@@ -55,7 +57,7 @@ def template_table(docs: DataFrame, templates: dict[str, str] | None = None) ->
 def header_scores(files: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """(fid, licence, score) of the best template of each file's headers, COSINE or more. ``files``: fid, text."""
     table = template_table(files, templates)
-    top = float(F_log(1 + len(templates or TEMPLATES)) + 1)
+    top = math.log(1 + len(templates or TEMPLATES)) + 1
     lines = files.where(F.col("text").rlike(TRIGGER)).select("fid", F.posexplode(F.filter(F.split("text", "\n"), lambda x: x.rlike(TRIGGER))).alias("line", "header"))
     # the same line in many files is scored once
     distinct = lines.select("header").distinct()
@@ -69,12 +71,6 @@ def header_scores(files: DataFrame, templates: dict[str, str] | None = None) ->
     return lines.join(best, "header").groupBy("fid").agg(_best("x").alias("x")).select("fid", "x.licence", "x.score")
 
 
-def F_log(x: float) -> float:  # noqa: N802
-    import math
-
-    return math.log(x)
-
-
 def _best(x: str) -> Column:
     """Highest score, ties to the smaller licence."""
     return F.min_by(F.col(x), F.struct(-F.col(f"{x}.score"), F.col(f"{x}.licence")))
@@ -82,7 +78,9 @@ def _best(x: str) -> Column:
 
 def license_scan(files: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """Per row of ``files`` (path, text, and ``key`` passed through): licence, score, source (own, inherited, none), origin."""
-    rows = files.select("key", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text")).withColumn("fid", F.monotonically_increasing_id())
+    rows = files.select("key", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    # a name made from the content: the same in every branch of the plan, whatever order the rows are read in
+    rows = rows.withColumn("fid", F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("key", "path", "text")])))
     own = header_scores(rows.select("fid", "text"), templates)
     parts = F.split("path", "/")
     light = rows.select("fid", "key", "path", F.element_at(parts, -1).alias("name"), F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/").alias("dir"))
@@ -91,6 +89,7 @@ def license_scan(files: DataFrame, templates: dict[str, str] | None = None) -> D
     lacking = known.where("licence is null and path is not null").select("fid", "dir")
     segments = F.split("dir", "/")
     up = lacking.select("fid", F.explode(F.transform(F.sequence(F.lit(1), F.size(segments)), lambda n: F.array_join(F.slice(segments, 1, n), "/"))).alias("dir"))
+    up = up.distinct()
     nearest = up.join(declared, "dir").groupBy("fid").agg(F.max_by(F.struct("dir", "x.licence", "x.score"), F.length("dir")).alias("y"))
     out = known.join(nearest, "fid", "left")
     source = F.when(F.col("licence").isNotNull(), "own").when(F.col("y").isNotNull(), "inherited").otherwise("none")
@@ -99,3 +98,30 @@ def license_scan(files: DataFrame, templates: dict[str, str] | None = None) -> D
 
 def _best_of() -> Column:
     return F.min_by(F.struct("score", "licence"), F.struct(-F.col("score"), F.col("licence")))
+
+
+_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+_SQL_TERMS = r"regexp_extract_all(lower({0}), '[a-z]+|[0-9]+(?:\.[0-9]+)*')"
+SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, text, 't' || (doc_id // 1000) || '/' || CASE WHEN doc_id % 1000 = 0 THEN 'LICENSE' WHEN doc_id % 100 = 0 THEN (doc_id // 100) || '/LICENSE' ELSE (doc_id // 100) || '/' || doc_id || '.txt' END AS path FROM documents
+), templates(licence, notice) AS (VALUES {_VALUES}),
+tf AS (SELECT licence, term, count(*) AS tf FROM (SELECT licence, unnest({_SQL_TERMS.format('notice')}) AS term FROM templates) GROUP BY 1, 2),
+idf AS (SELECT term, ln((1.0 + {len(TEMPLATES)}) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
+tw AS (SELECT licence, tf.term, tf * idf AS w FROM tf JOIN idf ON idf.term = tf.term),
+tn AS (SELECT licence, sqrt(sum(w * w)) AS n FROM tw GROUP BY licence),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS h FROM docs),
+heads AS (SELECT DISTINCT h FROM lines WHERE regexp_matches(h, '{TRIGGER}')),
+ht AS (SELECT h, term, count(*) AS c FROM (SELECT h, unnest({_SQL_TERMS.format('h')}) AS term FROM heads) GROUP BY 1, 2),
+hw AS (SELECT h, ht.term, c * coalesce(idf, ln(1.0 + {len(TEMPLATES)}) + 1) AS w FROM ht LEFT JOIN idf ON idf.term = ht.term),
+hn AS (SELECT h, sqrt(sum(w * w)) AS n FROM hw GROUP BY h),
+dots AS (SELECT hw.h, tw.licence, sum(hw.w * tw.w) AS dot FROM hw JOIN tw ON tw.term = hw.term GROUP BY 1, 2),
+scores AS (SELECT dots.h, dots.licence, round(dot / hn.n / tn.n, 6) AS score FROM dots JOIN hn ON hn.h = dots.h JOIN tn ON tn.licence = dots.licence),
+ranked AS (SELECT l.doc_id, s.licence, s.score, row_number() OVER (PARTITION BY l.doc_id ORDER BY s.score DESC, s.licence) AS k FROM lines l JOIN scores s ON s.h = l.h WHERE s.score >= {COSINE}),
+files AS (SELECT d.doc_id, d.path, regexp_replace(d.path, '/[^/]*$', '') AS dir, r.licence, r.score FROM docs d LEFT JOIN (SELECT * FROM ranked WHERE k = 1) r ON r.doc_id = d.doc_id),
+declared AS (SELECT dir, licence, score, row_number() OVER (PARTITION BY dir ORDER BY score DESC, licence) AS k FROM files WHERE licence IS NOT NULL AND path LIKE '%/LICENSE'),
+above AS (SELECT f.doc_id, d.dir, d.licence, d.score, row_number() OVER (PARTITION BY f.doc_id ORDER BY length(d.dir) DESC) AS k FROM files f JOIN declared d ON d.k = 1 AND (f.dir = d.dir OR starts_with(f.dir, d.dir || '/')) WHERE f.licence IS NULL)
+SELECT f.doc_id, f.path, coalesce(f.licence, a.licence) AS licence, coalesce(f.score, a.score) AS score,
+ CASE WHEN f.licence IS NOT NULL THEN 'own' WHEN a.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS found, a.dir AS origin
+FROM files f LEFT JOIN (SELECT * FROM above WHERE k = 1) a ON a.doc_id = f.doc_id
+"""

@@ -65,4 +65,4 @@ def op10_rules(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_chunks, op3_neardup, op4_quality, op5_packing, op6_topk_ta, op7_licenses_tfidf, op8_binary, op9_pii, op10_rules)}
-SQL: dict[str, str] = {"op6_topk_ta": op6_topk.SQL}
+SQL: dict[str, str] = {"op6_topk_ta": op6_topk.SQL, "op7_licenses_tfidf": op7_licenses.SQL}

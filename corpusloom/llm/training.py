@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,14 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL, text_chars: int = TEXT_CHARS) -> list[tuple[str, int]]:
+class Sample(NamedTuple):
+    """(text, label) rows, and the share of label 1 among all labels (None without labels)."""
+
+    rows: list[tuple[str, int]]
+    share: float | None
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL, text_chars: int = TEXT_CHARS) -> Sample:
     """(text, quality) of at most ``2 * rows_per_label`` rows that aren't held out, chosen by a hash of doc_id.
 
     A doc_id labelled twice counts with its lowest label; null labels don't count.
@@ -29,7 +38,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int = RO
     out: list[tuple[str, int]] = []
     for q in (0, 1):
         out += [(r["text"], q) for r in rows.where(F.col("quality") == q).orderBy(order, "doc_id", "text").limit(rows_per_label).select("text").collect()]
-    return out
+    return Sample(out, known.agg(F.avg("quality")).first()[0])
 
 
 class Adam:
