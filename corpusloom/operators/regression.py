@@ -33,17 +33,6 @@ class Fit:
         return [(model, k, float(c), float(s), float(t), float(p), self.n) for k, c, s, t, p in zip(self.terms, self.coef, self.se, self.t, self.p, strict=True)]
 
 
-def _demeaned(panel: DataFrame, y: str, xs: list[str], entity: str, time: str, rounds: int) -> DataFrame:
-    """Two-way within transform by alternating projections; each round is two partial aggregations joined back."""
-    cols = [y, *xs]
-    df = panel.select(entity, time, *[finite(F.col(c)).alias(c) for c in cols]).na.drop(subset=[entity, time, *cols])
-    for _ in range(rounds):
-        for key in (entity, time):
-            means = df.groupBy(key).agg(*[F.avg(c).alias(f"_{c}") for c in cols])
-            df = df.join(means, key).select(entity, time, *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in cols])
-    return df
-
-
 def fe_ols(panel: DataFrame, y: str, xs: list[str], entity: str, time: str, max_effects: int = 2000) -> Fit:
     """OLS of y on xs with entity and time dummies and errors clustered by entity.
 
@@ -99,21 +88,32 @@ def fe_ols(panel: DataFrame, y: str, xs: list[str], entity: str, time: str, max_
     return Fit(["Intercept", *xs], beta[keep], np.sqrt(np.maximum(np.diag(cov)[keep], 0)), int(n))
 
 
-def within_ols(panel: DataFrame, y: str, xs: list[str], entity: str, time: str, rounds: int = 10) -> Fit:
-    """The same slopes for any number of entities: two-way demeaning, then sums of products by entity."""
-    df = _demeaned(panel, y, xs, entity, time, rounds)
-    k = len(xs)
-    one = df.agg(F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"q{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate([*xs, y])]).first()
-    xtx = np.array([[one[f"q{i}_{j}"] for j in range(k)] for i in range(k)])
-    beta = np.linalg.solve(xtx, np.array([one[f"q{i}_{k}"] for i in range(k)]))
-    residual = F.col(y) - sum((F.col(x) * float(b) for x, b in zip(xs, beta, strict=True)), F.lit(0.0))
-    scores = df.withColumn("_u", residual).groupBy(entity).agg(*[F.sum(F.col(x) * F.col("_u")).alias(f"u{i}") for i, x in enumerate(xs)])
-    m = scores.agg(F.count("*").alias("g"), *[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
-    meat = np.array([[m[f"m{i}_{j}"] for j in range(k)] for i in range(k)])
-    inverse = np.linalg.inv(xtx)
+def within_ols(panel: DataFrame, y: str, xs: list[str], entity: str, time: str, max_periods: int = 500) -> Fit:
+    """The same slopes for any number of entities: everything (time dummies too) less its entity mean, then sums of products.
+
+    One aggregation by entity joined back; the driver sees the periods and (terms + periods) squared numbers.
+    """
+    cols = [y, *xs]
+    df = panel.select(entity, time, *[finite(F.col(c)).alias(c) for c in cols]).na.drop(subset=[entity, time, *cols])
+    periods = sorted(r[0] for r in df.select(time).distinct().limit(max_periods + 1).collect())
+    if len(periods) > max_periods:
+        raise ValueError("too many periods for dummies")
+    names = [*[f"_x{i}" for i in range(len(xs))], *[f"_d{i}" for i in range(1, len(periods))]]
+    wide = df.select(entity, F.col(y).alias("_y"), *[F.col(x).alias(f"_x{i}") for i, x in enumerate(xs)], *[(F.col(time) == p).cast("double").alias(f"_d{i}") for i, p in enumerate(periods) if i])
+    means = wide.groupBy(entity).agg(*[F.avg(c).alias(f"m{c}") for c in ["_y", *names]])
+    low = wide.join(means, entity).select(entity, *[(F.col(c) - F.col(f"m{c}")).alias(c) for c in ["_y", *names]])
+    k = len(names)
+    products = low.agg(F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"q{i}_{j}") for i, a in enumerate(names) for j, b in enumerate([*names, "_y"]) if i <= j]).first()
+    xtx = np.array([[products[f"q{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    inverse = np.linalg.pinv(xtx)
+    beta = inverse @ np.array([products[f"q{i}_{k}"] for i in range(k)])
+    residual = F.col("_y") - sum((F.col(c) * float(b) for c, b in zip(names, beta, strict=True)), F.lit(0.0))
+    scores = low.withColumn("_u", residual).groupBy(entity).agg(*[F.sum(F.col(c) * F.col("_u")).alias(f"u{i}") for i, c in enumerate(names)])
+    m = scores.agg(F.count("*").alias("g"), *[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    meat = np.array([[m[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
     g = m["g"]
     cov = inverse @ meat @ inverse * (g / (g - 1) if g > 1 else 1.0)
-    return Fit(list(xs), beta, np.sqrt(np.diag(cov)), int(one["n"]))
+    return Fit(list(xs), beta[: len(xs)], np.sqrt(np.maximum(np.diag(cov)[: len(xs)], 0)), int(products["n"]))
 
 
 COEFFICIENTS = "model string, term string, coef double, se double, t double, p double, n long"
