@@ -124,3 +124,90 @@ def nearest_centroid(rows: DataFrame, vector: str, centroids: DataFrame) -> Data
 def lexical_nudge(x: Column, a: Column, s: Column, step: float = 0.06) -> tuple[Column, Column]:
     """The evaluator's simple variant: action words lift the first score, modal words the second."""
     return F.when(has(x, "action"), a + step).otherwise(a), F.when(has(x, "modal"), s + step).otherwise(s)
+
+
+#: The evaluator's own patterns; it isn't the cascade above, and parity isn't claimed.
+EVALUATOR = {
+    "list": r"\b(including|such as|as well as|among other|and other)\b",
+    "category": r"\b(internet|e[- ]?commerce|web services|devices|advertis(ing|ement)|privacy|data protection|tax|employment|antitrust|tariff|omnichannel|electronic|robotics|virtual reality|blockchain|iot|cloud|edge computing)\b",
+    "alongside": r"\b(is|are)\s+(?:among|alongside|one of|together with)\b",
+    "generic": r"\b(discussed|topic|focus|trend|coverage|buzzword|headline)\b",
+    "infrastructure": r"\bAI infrastructure such as (GPU|GPUs|accelerators)\b",
+    "infrastructure_broad": r"\b(ai|artificial intelligence)\s+infrastructure\s+.*\bsuch as\b.*\b(gpu|gpus|graphics processing units|accelerators)\b",
+    "data_leakage": r"^The use of AI .* (data leakage|exposure)",
+    "strategy": r"reevaluated .* strategy .* artificial intelligence",
+    "modal": r"\b(may|might|could|will|would|should|intend(?:s|ed)?\s+to|plan(?:s|ned)?\s+to|aims?\s+to|anticipate|seek|hope|explor(?:e|ing)|evaluat(?:e|ing))\b",
+    "action": r"\b(use|uses|using|deploy|deployed|embed|embedded|launch(?:ed|es)?|implement(?:ed|s)?|roll(?:ed)?\s+out|in\s+production|operational|customers|currently\s+use|reduced|improved|increased|support\s+live\s+operations|recommend|enhance|develop|build|apply|applied|applying|improve|improving|operate|operating)\b",
+    "number": r"\b\d+(?:\.\d+)?%|\b\d{2,}\b",
+    "risk": r"\b(risk|liability|lawsuit|lawsuits?|legal claim|legal liability|regulators?|regulation|compliance|reputation(al)?)\b",
+    "future": r"\b(will|going to|in the future|expected to|plan(?:s|ned)? to|intend(?:s|ed)? to)\b",
+    "deployment": r"\b(deploy|deployed|launched?|rolled out|support live|operational|currently use)\b",
+    "focus_products": r"focus(ed)? on .* (products|services).* based on AI",
+    "future_features": r"future (features|services)",
+    "focus_list": r"focus(ed)?\s+on\s+.*\b(ai|artificial intelligence)\b",
+    "lawsuits": r"\b(subject to multiple lawsuits|subject of multiple lawsuits)\b",
+    "glossary": r"\b(glossary|definition|defined as)\b",
+}
+
+
+def _ev(x: Column, *names: str) -> Column:
+    out = F.lit(False)
+    for n in names:
+        out = out | x.rlike("(?i)" + EVALUATOR[n])
+    return F.coalesce(out, F.lit(False))
+
+
+def evaluator_gate(x: Column, min_tokens: int = MIN_TOKENS) -> Column:
+    """The evaluator's irrelevance gate, first match wins: short and header-like lines, exemptions, lists, named cases."""
+    n = T.token_count(x)
+    commas, ands = F.length(F.regexp_replace(x, "[^,]", "")), F.lower(x).contains(" and ")
+    dense = _ev(x, "category") & (_ev(x, "list") | (commas >= 1) | ands) & (n > 10) & ~_ev(x, "action")
+    named = _ev(x, "infrastructure", "infrastructure_broad", "data_leakage", "strategy", "lawsuits") | has(x, "laws_list", "future_based_on_ai", "apply_learnings", "decreased_engagement")
+    header = x.rlike(r"\p{L}") & (F.upper(x) == x)
+    return (
+        F.when((n < min_tokens) | x.endswith(":") | header | _ev(x, "glossary"), True)
+        .when(_ev(x, "focus_products", "focus_list", "future_features") | has(x, "invest_unproven", "global_laws"), False)
+        .otherwise(dense | (_ev(x, "alongside", "generic") & _ev(x, "category")) | named | (has(x, "innovating_build") & ~_ev(x, "action")))
+    )
+
+
+#: The evaluator's score changes in order; (own patterns, cascade patterns, own pattern that must be absent, changes).
+EVALUATOR_BOOSTS = (
+    (("modal",), (), None, {"s": 0.06}),
+    (("action", "number"), (), None, {"a": 0.06}),
+    (("risk",), (), None, {"s": 0.08}),
+    (("future",), (), None, {"s": 0.05}),
+    (("deployment",), (), None, {"a": 0.08}),
+    ((), ("offering_ml", "provides_ml"), None, {"a": 0.12}),
+    ((), ("estimate",), None, {"s": 0.12}),
+    ((), ("prevent_deliver", "user_diminish"), None, {"a": 0.06}),
+    ((), ("global_laws",), None, {"s": 0.12, "i": -0.08}),
+    ((), ("laws_list",), None, {"i": 0.15, "s": -0.08}),
+    ((), ("future_based_on_ai",), None, {"i": 0.12, "a": -0.06}),
+    ((), ("apply_learnings",), None, {"i": 0.1, "s": 0.05, "a": -0.08}),
+    ((), ("develop_deploy",), None, {"a": 0.1}),
+    (("future_features",), (), None, {"a": -0.06}),
+    ((), ("apply_learnings",), "deployment", {"i": 0.05}),
+    ((), ("invest_unproven",), None, {"s": 0.12, "i": -0.06}),
+)
+
+
+def classify_evaluator(rows: DataFrame, sentence: str, scores: tuple[str, str, str], boosts: bool = False, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """The evaluator's variant: short lines are irrelevant, and after its gate the answer is never Irrelevant."""
+    x = F.col(sentence)
+    now = dict(zip("asi", (F.col(c).cast("double") for c in scores), strict=True))
+    if boosts:
+        for own, shared, absent, changes in EVALUATOR_BOOSTS:
+            hit = _ev(x, *own) | has(x, *shared)
+            hit = hit & ~_ev(x, absent) if absent else hit
+            for k, d in changes.items():
+                now[k] = F.when(hit, F.greatest(F.lit(0.0), now[k] + d) if d < 0 else now[k] + d).otherwise(now[k])
+    action = _ev(x, "action")
+    force = (_ev(x, "modal") & ~action) | has(x, "intend_focus", "global_laws") | _ev(x, "focus_products", "focus_list", "future_features")
+    ops = has(x, "prevent_deliver", "user_diminish") & ~_ev(x, "modal")
+    rule = F.when(force & ~action, "force").when(evaluator_gate(x, min_tokens), "gate").when(ops, "ops").otherwise("fine")
+    out = rows.withColumn("rule", rule).withColumns({"_a": now["a"], "_s": now["s"]})
+    fine = F.when(F.col("_s") >= F.col("_a"), "Speculative").otherwise("Actionable")
+    label = F.when(F.col("rule") == "force", "Speculative").when(F.col("rule") == "gate", "Irrelevant").when(F.col("rule") == "ops", "Actionable").otherwise(fine)
+    spread = F.when(F.col("rule") == "fine", F.round(F.abs(F.col("_a") - F.col("_s")), 3))
+    return out.withColumn("label_pred", label).withColumn("fine_margin", spread).drop("_a", "_s")

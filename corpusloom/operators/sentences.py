@@ -215,3 +215,15 @@ def concreteness(sentence: Column, concrete: list[str], vague: list[str]) -> Col
     return F.struct(c.alias("concrete"), v.alias("vague"), near.alias("fuzzy"), F.coalesce(F.try_divide(c, c + v), F.lit(0.0)).alias("score"))
 
 
+
+
+def incomplete(sentence: Column) -> Column:
+    """Whether a merged sentence lacks its capital or its terminal mark (empty ones do)."""
+    s = T.squeeze_ends(F.coalesce(sentence, F.lit("")))
+    return ~(s.rlike(r"^\p{Lu}") & s.rlike("[.!?]$"))
+
+
+def merge_accounting(docs: DataFrame) -> DataFrame:
+    """Per row of (segmented, after_page, after_sentence): merges at each step, 0 at least."""
+    lost = lambda a, b: F.greatest(F.lit(0), F.col(a) - F.col(b))
+    return docs.withColumns({"page_merges": lost("segmented", "after_page"), "sentence_merges": lost("after_page", "after_sentence")})

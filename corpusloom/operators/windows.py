@@ -139,3 +139,25 @@ def greedy_sample(rows: list[dict], target: int, year_quota: dict, label_target:
 def irr_size(counts: dict[str, int], fraction: float, min_per_class: int) -> int:
     """Double-rated subset's size: the half-even share of all, but the minimum of each class at least."""
     return max(round(sum(counts.values()) * fraction), sum(min(min_per_class, n) for n in counts.values()))
+
+
+def panel_features(panel: DataFrame) -> DataFrame:
+    """Shares, logs and dummies of a firm-year panel, from the columns that it has."""
+    has = set(panel.columns)
+    log = lambda c: F.log1p(F.greatest(F.coalesce(F.col(c), F.lit(0)).cast("double"), F.lit(0.0)))
+    new: dict[str, Column] = {}
+    if "patents_ai" in has:
+        new["log_patents_ai"] = log("patents_ai")
+    if {"n_A", "n_S", "n_total"} <= has:
+        new |= {f"{name}Share": F.try_divide(F.col(c).cast("double"), F.col("n_total")) for name, c in (("Act", "n_A"), ("Spec", "n_S"))}
+    else:
+        new |= {f"{name}Share": F.col(c) for name, c in (("Act", "share_A"), ("Spec", "share_S")) if c in has}
+    if "n_total" in has:
+        new["log_docs"] = log("n_total")
+    new |= {f"log_{c}": log(c) for c in ("n_A", "n_S", "n_I") if c in has}
+    acts = F.coalesce(F.col("n_A"), F.lit(0)) if "n_A" in has else F.lit(0)
+    new["has_actionable"] = (acts > 0).cast("int") if "n_A" in has else F.lit(None).cast("int")
+    new["has_spec_only"] = ((F.coalesce(F.col("n_S"), F.lit(0)) > 0) & (acts == 0)).cast("int") if "n_S" in has else F.lit(None).cast("int")
+    out = panel.withColumns(new)
+    both = {"ActShare", "SpecShare"} <= set(out.columns)
+    return out.withColumn("SpecMinusAct", F.col("SpecShare") - F.col("ActShare") if both else F.lit(None).cast("double"))
