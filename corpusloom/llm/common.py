@@ -42,6 +42,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_root(spark).rstrip('/')}/corpusloom/{label}-{uuid.uuid4().hex}"
+        self.written: list[str] = []
         atexit.register(self.drop)
 
     def path(self, name: str) -> str:
@@ -50,10 +51,18 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Cut the lineage: write ``df`` as Parquet and read it back."""
         df.write.mode("overwrite").parquet(self.path(name))
+        self.written.append(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep_only(self, *prefixes: str) -> None:
+        """Delete the tables written so far whose names don't start with one of the prefixes."""
+        gone = [n for n in self.written if not n.startswith(prefixes)]
+        if gone:
+            self.drop(*gone)
+
     def drop(self, *names: str) -> None:
         """Delete some tables, or the whole folder."""
+        self.written = [n for n in self.written if n not in names]
         try:
             jvm = self.spark.sparkContext._jvm
             conf = self.spark.sparkContext._jsc.hadoopConfiguration()

@@ -271,6 +271,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, pe
     spread = _block_pairs(sets, F.col("blocks")).select("family", "i", "j", "rep", "shingles")
     links = spread.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_confirm(percent), _EDGES)
     found = components(scratch, links, "links").select(F.col("node").alias("rep"), "component")
+    scratch.keep_only("signed", "classes", "links")  # the result reads these again
     of_class = classes.select("set_key", "rep").join(found, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     of_row = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
