@@ -163,3 +163,18 @@ def run_timing(steps: DataFrame) -> DataFrame:
 def repeated_blockers(blockers: DataFrame, stem: Column) -> DataFrame:
     """Blockers of the same type and command that occurred more than once, with their ids in order."""
     return blockers.groupBy("type", stem.alias("stem")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids")).where("n > 1")
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """(column, kind, n, missing, distinct, min, max, mean) of every column in one pass; min, max as text, mean of numbers only."""
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    plain = [(c, t) for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
+    mean = lambda c, t: F.avg(c) if t in numeric else F.lit(None).cast("double")
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("kind"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("missing"), F.approx_count_distinct(c).alias("distinct"), F.min(c).cast("string").alias("min"), F.max(c).cast("string").alias("max"), mean(c, t).alias("mean")) for c, t in plain]
+    return df.agg(F.array(*rows).alias("p")).select(F.explode("p").alias("x")).select("x.*")
+
+
+def conditional_counts(rows: DataFrame, keys: list[str], condition: Column) -> DataFrame:
+    """Per key: all rows, those that meet the condition (null counts as no), and their share."""
+    g = rows.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(condition).alias("hits"))
+    return g.withColumn("share", F.try_divide(F.col("hits").cast("double"), F.col("total")))

@@ -211,3 +211,25 @@ def classify_evaluator(rows: DataFrame, sentence: str, scores: tuple[str, str, s
     label = F.when(F.col("rule") == "force", "Speculative").when(F.col("rule") == "gate", "Irrelevant").when(F.col("rule") == "ops", "Actionable").otherwise(fine)
     spread = F.when(F.col("rule") == "fine", F.round(F.abs(F.col("_a") - F.col("_s")), 3))
     return out.withColumn("label_pred", label).withColumn("fine_margin", spread).drop("_a", "_s")
+
+
+def hashed_vector(sentence: Column, dims: int = 64) -> Column:
+    """Stand-in for a sentence encoder: token counts in ``dims`` hash buckets, JVM-side."""
+    bucket = F.transform(T.tokens(T.normalize_sentence(F.coalesce(sentence, F.lit("")))), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)))
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(bucket, lambda b: b == k)).cast("float"))
+
+
+def embed(rows: DataFrame, sentence: str, encode, column: str = "embedding") -> DataFrame:
+    """Vectors from any encoder (a function of a list of texts to a list of vectors), in Arrow batches; null text is ""."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [x or "" for x in batch.column(batch.schema.get_field_index(sentence)).to_pylist()]
+            vectors = pa.array([list(map(float, v)) for v in encode(texts)] if texts else [], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, vectors], names=[*batch.schema.names, column])
+
+    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(column, ArrayType(FloatType()))]))

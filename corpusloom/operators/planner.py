@@ -79,6 +79,14 @@ def task_score(downstream: Column, depth: Column, risk: Column, automation: Colu
     return (w["unblock"] * F.least(downstream, F.lit(10)) + w["depth"] * depth + w["risk"] * risk + w["automation"] * bonus - w["manual"] * manual - w["gap"] * gaps - w["quality"] * F.when(failed_quality, 1).otherwise(0)).cast("double")
 
 
+def phase_score(downstream: Column, depth: Column, gaps: Column, status: Column, w: dict | None = None) -> Column:
+    """Weighted value of a phase: what it unblocks and its depth, less gaps, failed quality and manual blocks."""
+    w = WEIGHTS | (w or {})
+    manual = F.when(status == "blocked_manual", 1).otherwise(0)
+    quality = F.when(status == "blocked_quality", 1).otherwise(0)
+    return (w["unblock"] * F.least(downstream, F.lit(10)) + w["depth"] * depth - w["manual"] * manual - w["gap"] * gaps - w["quality"] * quality).cast("double")
+
+
 def option_score(risk: Column, probability: Column, effort: Column, side_effects: Column) -> Column:
     return F.round(risk * 2.5 + probability * 30.0 - effort * 3.0 - side_effects * 2, 3)
 

@@ -114,25 +114,59 @@ def allocate(available: dict, target: int, base: int | None = None) -> dict:
     return quota
 
 
-def greedy_sample(rows: list[dict], target: int, year_quota: dict, label_target: dict, bucket_floor: int = 0, seed: int = 13) -> list[dict]:
-    """Greedy pick by open needs (year, label, industry floor), seeded order on ties.
+def allocate_years(available: dict, target: int) -> dict:
+    """Year quotas: even shares, the remainder to the first years, what a year lacks to those with most rows left."""
+    years = sorted(available)
+    if not years or target <= 0:
+        return dict.fromkeys(years, 0)
+    quota = {y: min(target // len(years) + (k < target % len(years)), available[y]) for k, y in enumerate(years)}
+    while sum(quota.values()) < min(target, sum(available.values())):
+        spare = sorted((y for y in years if quota[y] < available[y]), key=lambda y: (available[y] - quota[y], y), reverse=True)
+        for y in spare[: target - sum(quota.values())]:
+            quota[y] += 1
+    return quota
+
 
-    Each step depends on all before it, so this runs on a pre-filtered candidate list (the caller bounds it).
+def greedy_sample(rows: list[dict], target: int, min_class: int = 0, base_counts: dict | None = None, bucket_floor: int = 12, seed: int = 13) -> list[dict]:
+    """Priority sample of candidates: first a floor per industry bucket, then year by year by what each still lacks.
+
+    ``rows``: id, year, label (suggested, or None), bucket, edge, length_bin. A row is preferred by its year's open
+    quota, a suggested label, an edge case, its class' shortfall, a rare length bin, then a seeded draw. Each pick changes
+    the next one's order, so this runs on a candidate list that the caller has filtered in Spark.
     """
-    order = sorted(rows, key=lambda r: str(r["id"]))
-    random.Random(seed).shuffle(order)
-    need_y, need_l = dict(year_quota), dict(label_target)
-    need_b = {r["bucket"]: bucket_floor for r in rows}
+    target = min(target, len(rows))
+    draw = random.Random(seed)
+    pool = {r["id"]: r | {"_d": draw.random()} for r in sorted(rows, key=lambda r: str(r["id"]))}
+    count = lambda field, values: {v: sum(r[field] == v for r in values) for v in sorted({r[field] for r in values}, key=str)}
+    available = count("year", pool.values())
+    quota, years, classes = allocate_years(available, target), dict.fromkeys(available, 0), dict(base_counts or {})
+    rarest = sorted(count("length_bin", pool.values()).items(), key=lambda x: (x[1], x[0]))
+    length = {name: k for k, (name, _) in enumerate(rarest)}
+    buckets = sorted({str(r["bucket"]) for r in pool.values()})
+    floor = bucket_floor if len(buckets) * bucket_floor <= target else target // max(1, len(buckets))
     out: list[dict] = []
-    pool = list(enumerate(order))
-    while pool and len(out) < target:
-        gain = lambda x: (need_y.get(x[1]["year"], 0) > 0, need_l.get(x[1]["label"], 0) > 0, need_b[x[1]["bucket"]] > 0, need_l.get(x[1]["label"], 0), -x[0])
-        best = max(pool, key=gain)
-        pool.remove(best)
-        r = best[1]
-        for need, k in ((need_y, r["year"]), (need_l, r["label"]), (need_b, r["bucket"])):
-            need[k] = need.get(k, 0) - 1
-        out.append(r)
+
+    def rank(r: dict) -> tuple:
+        lack = quota[r["year"]] - years[r["year"]]
+        short = max(0, min_class - classes.get(r["label"], 0)) if r["label"] else 0
+        return (lack <= 0, -lack, not r["label"], not r["edge"], -short, length[r["length_bin"]], r["_d"], str(r["id"]))
+
+    def take(candidates: list[dict]) -> None:
+        r = pool.pop(min(candidates, key=rank)["id"])
+        years[r["year"]] += 1
+        if r["label"]:
+            classes[r["label"]] = classes.get(r["label"], 0) + 1
+        out.append({k: v for k, v in r.items() if k != "_d"})
+
+    for b in buckets:
+        for _ in range(floor):
+            own = [r for r in pool.values() if str(r["bucket"]) == b]
+            if own and len(out) < target:
+                take(own)
+    while len(out) < target:
+        left = {r["year"] for r in pool.values()}
+        year = max(left, key=lambda y: (quota[y] - years[y], available[y], y))
+        take([r for r in pool.values() if r["year"] == year])
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import aggregates as A
 from corpusloom.operators import classify as C
 from corpusloom.operators import labeling as L
 from corpusloom.operators import relational as R
@@ -139,3 +140,23 @@ def e6_evaluator_variant(t):
 def a14_completion_checks(t):
     lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("s"))
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(S.incomplete(F.col("s"))).alias("incomplete"))
+
+
+@query("SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS total, count(*) FILTER (l_returnflag = 'R') AS hits, round(count(*) FILTER (l_returnflag = 'R') / count(*), 6) AS share FROM lineitem GROUP BY 1, 2")
+def c20_conditional_counts(t):
+    rows = t.lineitem.select("l_suppkey", F.year("l_shipdate").alias("year"), "l_returnflag")
+    return A.conditional_counts(rows, ["l_suppkey", "year"], F.col("l_returnflag") == "R").withColumn("share", F.round("share", 6))
+
+
+@query("SELECT 'c_acctbal' AS \"column\", count(c_acctbal) AS n, count(*) - count(c_acctbal) AS missing, round(avg(c_acctbal), 6) AS mean FROM customer UNION ALL SELECT 'c_nationkey', count(c_nationkey), count(*) - count(c_nationkey), round(avg(c_nationkey), 6) FROM customer")
+def c21_profile(t):
+    p = A.profile(t.customer.select("c_acctbal", "c_nationkey"))
+    return p.select("column", "n", "missing", F.round("mean", 6).alias("mean"))
+
+
+@query()
+def e7_hashed_centroids(t):
+    """Keyword sentences as hashed vectors, their centroids by language, and the nearest centroid of each: a confusion count."""
+    s = S.keyword_filter(S.explode_sentences(t.documents.select("doc_id", "lang", "text")).drop("text"), list(S.AI_KEYWORDS))
+    v = s.select("doc_id", "sentence_index", F.col("lang").alias("label"), C.hashed_vector(F.col("sentence")).alias("embedding"))
+    return C.nearest_centroid(v, "embedding", A.centroids(v, "label", "embedding", 64)).groupBy("label", "nearest").agg(F.count("*").alias("n"))

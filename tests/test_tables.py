@@ -182,10 +182,12 @@ def test_quotas_and_samples():
         W.allocate({1: 1}, 3, 1)
     assert W.sample_entities([3, 1, 2, 3], 2) == W.sample_entities([1, 2, 3], 2)
     assert W.irr_size({"A": 30, "S": 20, "I": 3}, 0.1, 5) == 13
-    rows = [{"id": i, "year": 2020 + i % 2, "label": "AS"[i % 2], "bucket": i % 3} for i in range(20)]
-    picked = W.greedy_sample(rows, 6, {2020: 3, 2021: 3}, {"A": 3, "S": 3}, 1)
-    assert len(picked) == 6 and sum(r["year"] == 2020 for r in picked) == 3 and {r["bucket"] for r in picked} == {0, 1, 2}
-    assert picked == W.greedy_sample(rows[::-1], 6, {2020: 3, 2021: 3}, {"A": 3, "S": 3}, 1)
+    assert W.allocate_years({2020: 10, 2021: 1, 2022: 10}, 8) == {2020: 4, 2021: 1, 2022: 3}
+    assert W.allocate_years({2020: 1}, 5) == {2020: 1} and W.allocate_years({}, 3) == {}
+    rows = [{"id": i, "year": 2020 + i % 2, "label": ("Actionable", None)[i % 2 and 1], "bucket": i % 3, "edge": i % 5 == 0, "length_bin": "medium"} for i in range(40)]
+    picked = W.greedy_sample(rows, 12, bucket_floor=2)
+    assert len(picked) == 12 and sum(r["year"] == 2020 for r in picked) == 6 and {r["bucket"] for r in picked} == {0, 1, 2}
+    assert picked == W.greedy_sample(rows[::-1], 12, bucket_floor=2) and len(W.greedy_sample(rows, 100)) == 40
 
 
 CASES = [
@@ -271,3 +273,17 @@ def test_sensors(spark):
     assert check("row_count", operator=">=", value=2) and check("unique", columns=["id"]) and not check("column_values", column="year", allowed=[2020])
     assert check("fragment_rate", column="s", operator="<=", value=0.5) and check("json_field", column="j", field="a.b", value=3)
     assert check("required_columns", columns=["id", "s"]) and not check("years_present", column="year", years=[2020, 2022])
+
+
+def test_profiles_shares_and_vectors(spark):
+    df = frame(spark, "k string, x double, hit boolean", [("a", 1.0, True), ("a", 3.0, False), ("b", None, None)])
+    p = {r.column: r for r in A.profile(df).collect()}
+    assert (p["x"].n, p["x"].missing, p["x"].mean, p["x"].kind) == (2, 1, 2.0, "double") and p["k"].mean is None and p["k"].distinct == 2
+    c = {r.k: (r.total, r.hits, r.share) for r in A.conditional_counts(df, ["k"], F.col("hit")).collect()}
+    assert c == {"a": (2, 1, 0.5), "b": (1, 0, 0.0)}
+    v = frame(spark, "s string", [("Deep learning, deep",), ("",), (None,)]).select(C.hashed_vector(F.col("s"), 16).alias("v")).collect()
+    assert sum(v[0].v) == 3 and max(v[0].v) >= 2 and len(v[1].v) == 16 and sum(v[1].v) == 0 and sum(v[2].v) == 0
+    e = C.embed(frame(spark, "s string", [("ab",), (None,)]), "s", lambda texts: [[float(len(t))] for t in texts])
+    assert [r.embedding for r in e.collect()] == [[2.0], [0.0]]
+    s = frame(spark, "d int", [(20,)]).select(P.phase_score(F.col("d"), F.lit(2), F.lit(1), F.lit("blocked_quality")).alias("s")).first().s
+    assert s == 5 * 10 + 4 * 2 - 4 * 1 - 5
