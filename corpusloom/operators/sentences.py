@@ -86,6 +86,25 @@ def merge_fragments(pieces: DataFrame, doc: str = "doc_id", order: str = "senten
     return joined.select(doc, order, finish_sentence(text).alias("sentence")).where("sentence <> ''")
 
 
+def merge_fragment_array(pieces: Column) -> Column:
+    """:func:`merge_fragments` within an array, without a shuffle: a fold where a piece is continued, else piece by piece."""
+    trimmed = F.transform(pieces, T.squeeze_ends)
+    real = F.filter(trimmed, lambda s: (s != "") & ~s.rlike(r"^\d+$") & (F.lower(s) != "table of contents"))
+    goes_on = lambda a, b: ~a.rlike("[.?!]$") & b.rlike(r"^\p{Ll}")
+    n = F.size(real)
+    any_open = F.exists(F.zip_with(F.slice(real, 1, F.greatest(n - 1, F.lit(0))), F.slice(real, 2, F.greatest(n - 1, F.lit(0))), goes_on), lambda x: x)
+    state = lambda out, now: F.struct(out.alias("out"), now.alias("now"))
+
+    def step(st: Column, s: Column) -> Column:
+        joined = F.concat(F.regexp_replace(st["now"], "[ ;]+$", ""), F.lit(" "), s)
+        return F.when(st["now"] == "", state(st["out"], s)).when(goes_on(st["now"], s), state(st["out"], joined)).otherwise(state(F.concat(st["out"], F.array(finish_sentence(st["now"]))), s))
+
+    start = state(F.array().cast("array<string>"), F.lit(""))
+    folded = F.aggregate(real, start, step, lambda st: F.concat(st["out"], F.array(finish_sentence(st["now"]))))
+    done = F.when(any_open, folded).otherwise(F.transform(real, finish_sentence))
+    return F.filter(done, lambda s: s != "")
+
+
 _MARK = re.compile("[-–—]\\s*\\d+\\s*[-–—]")
 
 
@@ -152,11 +171,15 @@ def merge_page_fragments(docs: DataFrame, raw: str | None = "text") -> DataFrame
 
 
 def sentence_table(filings: DataFrame, keywords: list[str], extractor: str = "regex-1", min_tokens: int = 6) -> DataFrame:
-    """The canonical sentence table of filings (manifest columns and ``text``): 17 ordered columns."""
+    """The canonical sentence table of filings (manifest columns and ``text``): 17 ordered columns.
+
+    Sentences are cut, repaired around page markers, joined where a fragment goes on, filtered, then numbered.
+    """
     require_columns(filings, ("manifest_id", "filename", "cik", "year", "quarter", "form", "source_window_id", "text"), "filings")
     pattern = keyword_pattern(keywords)
-    kept = F.filter(segment(F.col("text")), lambda s: (F.length(s) >= 4) & ~s.rlike(r"^\d+$") & s.rlike(pattern))
-    rows = explode_sentences(filings.drop("sentence", "sentence_index"), kept)
+    pieces = merge_page_fragments(filings.drop("sentence", "sentence_index").withColumn("sentences", segment(F.col("text"))))
+    kept = F.filter(merge_fragment_array(F.col("sentences")), lambda s: (F.length(s) >= 4) & ~s.rlike(r"^\d+$") & s.rlike(pattern))
+    rows = explode_sentences(pieces, kept)
     s, norm, flags = F.col("sentence"), T.normalize_sentence(F.col("sentence")), T.integrity_flags(F.col("sentence"), min_tokens)
     out = rows.select(
         T.stable_id(F.col("filename"), F.col("sentence_index").cast("string"), norm).alias("sentence_id"),

@@ -9,7 +9,7 @@ from corpusloom.plans import QUERIES
 
 #: Queries that join a one-row aggregate or two small key spines.
 ONE_ROW = {"b11_missing_combinations", "c1_label_counts", "c9_overall_metrics", "c18_run_timing", "d4_winsorize_all", "e2_nearest_centroid", "e7_hashed_centroids", "x3_first_seen"}
-PYTHON = {"f1_near_duplicate_pairs", "f3_page_breaks"}
+PYTHON = {"a3_norm_ids", "f1_near_duplicate_pairs", "f3_page_breaks"}  # page repair and ratios
 
 
 def plan(df):
