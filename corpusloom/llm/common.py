@@ -10,6 +10,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -153,3 +154,21 @@ def arrow(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 def field(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+class Covered:
+    """Whether a stretch overlaps one of some spans (start, end), by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def overlaps(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b) - 1
+        return k >= 0 and self.ends[k] > a

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, Words, field, slices
+from corpusloom.llm.common import Covered, Scratch, field, slices
 
 #: The base patterns and their order.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -42,6 +42,10 @@ DISCLOSURE, SUPPORT = 0.9, 3
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+#: IP's matches in linear time: it can only start at the start of a run of digits, and no shorter run helps.
+_IP_ONCE = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -86,7 +90,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(0, *m.span()) for m in _emails(text)] if "@" in text else []
     if _DIGITS.search(text):
         if "." in text:
-            out += [(1, *m.span()) for m in IP.finditer(text) if _good_ip(m)]
+            out += [(1, *m.span()) for m in _IP_ONCE.finditer(text) if _good_ip(m)]
         out += [(2, *m.span()) for m in CARD.finditer(text) if m.end() - m.start() >= 16 and _good_card(m)]
         if "+" in text:
             out += [(3, *m.span()) for m in PHONE.finditer(text) if _good_phone(m)]
@@ -114,13 +118,13 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
     words = [m.span() for m in WORD.finditer(text)]
     starts = np.array([a for a, _ in words])
     ends = np.array([b for _, b in words])
-    out = []
+    out, covered = [], Covered([(a, b) for _, a, b in spans])
     for k, a, b in spans:
         entity = _hash(f"{k}:{text[a:b].lower()}")
         left, right = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b))
         for i in [*range(max(0, left - SPAN_WORDS), left), *range(right, min(len(words), right + SPAN_WORDS))]:
             s, e = words[i]
-            if any(s < y and x < e for _, x, y in spans):
+            if covered.overlaps(s, e):
                 continue
             if t := _term(text[s:e]):
                 out.append((entity, _hash(t), s, e))
@@ -148,9 +152,9 @@ def _term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(n.keys(), np.int64, len(n)), np.fromiter(n.values(), np.int64, len(n))
 
 
-def _scan(docs: DataFrame) -> DataFrame:
-    """Pass 1 over all columns of ``docs`` (kept as the struct ``row``): a row per document with its spans and contexts,
-    and rows of term counts (``terms`` set). ``rid`` numbers the rows as written, so later joins agree on it."""
+def _scan(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """Pass 1 over ``docs`` (the columns ``carry`` stay, as the struct ``row``): a row per document with its spans and
+    contexts, and rows of term counts (``terms`` set). ``rid`` numbers the rows as written, so later joins agree on it."""
     near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("s", pa.int64()), ("e", pa.int64())]))
     span = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int64()), ("e", pa.int64())]))
     names = ["row", "rid", "counts", "base_sha256", "base", "near", "text_hash", "terms", "docs", "total"]
@@ -172,7 +176,7 @@ def _scan(docs: DataFrame) -> DataFrame:
 
     from pyspark.sql import types as S
 
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("_text"))
+    rows = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("_text"))
     schema = S.StructType([S.StructField("row", rows.schema["row"].dataType, True), *S._parse_datatype_string(ROW).fields])
     return rows.mapInArrow(scan, schema)
 
@@ -200,9 +204,9 @@ def disclosing(scanned: DataFrame, disclosure: float = DISCLOSURE, support: int
 _MARK = "array<struct<k:int,s:bigint,e:bigint>>"
 
 
-def _with_marks(scratch: Scratch, docs: DataFrame) -> DataFrame:
+def _with_marks(scratch: Scratch, docs: DataFrame, carry: list[str]) -> DataFrame:
     """Pass 1's rows with ``found``: base spans and disclosing terms, by kind and start. Only rows near an entity are joined."""
-    scanned = scratch.write(_scan(docs), "scanned")
+    scanned = scratch.write(_scan(docs, carry), "scanned")
     pairs = scratch.write(disclosing(scanned), "pairs")
     per_doc = scanned.where("terms is null")
     marks = per_doc.where("size(near) > 0").select("rid", F.explode("near").alias("x")).select("rid", "x.entity", "x.term", "x.s", "x.e").join(pairs, ["entity", "term"], "left_semi")
@@ -214,7 +218,7 @@ def _with_marks(scratch: Scratch, docs: DataFrame) -> DataFrame:
 
 def find_personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per row: doc_id, counts, base hash, and all spans as a string and as an array."""
-    out = _with_marks(Scratch(spark, "op9"), docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").select("doc_id", "text"))
+    out = _with_marks(Scratch(spark, "op9"), docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), ["doc_id"])
     names = F.array(*map(F.lit, KINDS))
     text = F.transform("found", lambda z: F.concat_ws(":", F.get(names, z["k"]), z["s"].cast("string"), z["e"].cast("string")))
     counts = [F.col("counts")[i].alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
@@ -236,7 +240,7 @@ def clean_text(text: str, found: list[tuple[int, int, int]]) -> str:
 
 def sanitise(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs``, all rows and columns, with personal data and disclosing terms replaced (``n_chars`` follows the text)."""
-    marked = _with_marks(Scratch(spark, "op9s"), docs)
+    marked = _with_marks(Scratch(spark, "op9s"), docs, docs.columns)
     dirty = marked.where("size(found) > 0").select("row", F.col("row.text").alias("_text"), "found")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
