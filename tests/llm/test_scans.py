@@ -149,3 +149,20 @@ def test_clean_text_with_overlapping_spans():
 @pytest.mark.parametrize("run", [S.find_secrets, P.find_personal_data, P.sanitise])
 def test_empty_table(spark, run):
     assert run(spark, documents(spark).where("false")).count() == 0
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    digits = "7" * 300_000 + ". "
+    assert P.base_spans(digits) == []
+    many = " ".join(f"10.0.{i % 256}.{i % 199} and a{i}@b.org" for i in range(20_000))
+    assert len(P.contexts(many, P.base_spans(many))) >= 0 and len(P.base_spans(many)) == 40_000
+    r = random.Random(9)
+    run = "".join(r.choice(S.ENCODINGS["base64"]) for _ in range(300_000))
+    text = " ".join("ab" * 8 + f"{i:06}" for i in range(20_000)) + " " + run
+    found = S.candidates(text, S.base_spans(text))
+    assert [x[3] for x in found] == [run]
+    assert S.log_evidence(run, "base64", S.pair_counts(np.frombuffer(many.encode(), np.uint8)).reshape(128, 128)) != 0
+    assert time.time() - began < 30
