@@ -64,6 +64,7 @@ def curve_keys(texts: list[str]) -> np.ndarray:
     words = Words([t.encode("utf-8", "replace") for t in texts])
     cell = words.text * BUCKETS + (words.hash & np.uint64(BUCKETS - 1)).astype(np.int64)
     counts = np.log1p(np.bincount(cell, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS))
+    counts -= counts.mean(1, keepdims=True)  # else all long texts lie in one direction, and in one range of the curve
     counts /= np.maximum(np.sqrt((counts**2).sum(1, keepdims=True)), 1e-9)
     spread = np.clip((counts @ _PROJECT) / 3 + 0.5, 0, 1 - 1e-9)
     return hilbert_index((spread * (1 << BITS)).astype(np.int64))
