@@ -142,7 +142,7 @@ def classify(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
     """Per document: doc_id, score, predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, limit=2 << 20):
+        for batch, texts in slices(batches, limit=1 << 20):
             raw = [t.encode("utf-8", "replace") for t in texts]
             p = np.full(len(raw), model["constant"]) if "constant" in model else score(model, raw).astype(np.float64)
             yield pa.RecordBatch.from_arrays([field(batch, "doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
@@ -161,7 +161,7 @@ def keep_quality(docs: DataFrame, sample: Sample, threshold: float = THRESHOLD)
     model = fit(*sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, limit=2 << 20):
+        for batch, texts in slices(batches, limit=1 << 20):
             raw = [t.encode("utf-8", "replace") for t in texts]
             p = np.full(len(raw), model["constant"]) if "constant" in model else score(model, raw)
             yield batch.filter(pa.array(p >= threshold))
