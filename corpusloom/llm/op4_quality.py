@@ -108,7 +108,7 @@ def _grads(w: dict, z: _Layout, y: np.ndarray, weight: np.ndarray) -> dict:
     return g
 
 
-def fit(rows: list[tuple[str, int]], share: float | None = None, steps: int = 840, batch: int = 48, rate: float = 0.02, seed: int = 20_004) -> dict:
+def fit(rows: list[tuple[str, int]], share: float | None = None, steps: int | None = None, batch: int = 48, rate: float = 0.02, seed: int = 20_004) -> dict:
     """Weights fitted on (text, label) rows; label 1 has the share KEEP of the weight.
 
     With ``share`` (of label 1 among all labels) the bias is corrected from the fit's weights to that share, so that the
@@ -121,7 +121,8 @@ def fit(rows: list[tuple[str, int]], share: float | None = None, steps: int = 84
     weight = np.where(y == 1, KEEP / (y == 1).sum(), (1 - KEEP) / (y == 0).sum())
     w, r = initial(seed), np.random.default_rng(seed)
     adam = Adam(w, rate)
-    epochs = -(-steps // -(-len(texts) // batch))
+    batches = -(-len(texts) // batch)
+    epochs = -(-(steps or min(840, max(240, 30 * batches))) // batches)
     mean, n = {k: np.zeros(v.shape) for k, v in w.items()}, 0
     for e in range(epochs):
         adam.rate = rate * (1 - 0.9 * e / epochs)
