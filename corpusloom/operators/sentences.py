@@ -63,8 +63,8 @@ def finish_sentence(s: Column) -> Column:
     """White space squeezed, page markers off, outer ` ;,-` off, first letter upper, a full stop where none ends it."""
     x = F.regexp_replace(T.squeeze(s), T.PAGE_MARKER, " ")
     x = F.regexp_replace(T.squeeze(x), "^[ ;,-]+|[ ;,-]+$", "")
-    x = F.concat(F.upper(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x)))
-    return F.when(x == "", x).when(x.rlike("[.?!]$"), x).otherwise(F.concat(x, F.lit(".")))
+    x = F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))
+    return F.regexp_replace(x, r"([^.?!])\z", "$1.")  # one use of x: inside array functions each use is evaluated anew
 
 
 def merge_fragments(pieces: DataFrame, doc: str = "doc_id", order: str = "sentence_index") -> DataFrame:
@@ -178,7 +178,8 @@ def sentence_table(filings: DataFrame, keywords: list[str], extractor: str = "re
     require_columns(filings, ("manifest_id", "filename", "cik", "year", "quarter", "form", "source_window_id", "text"), "filings")
     pattern = keyword_pattern(keywords)
     pieces = merge_page_fragments(filings.drop("sentence", "sentence_index").withColumn("sentences", segment(F.col("text"))))
-    kept = F.filter(merge_fragment_array(F.col("sentences")), lambda s: (F.length(s) >= 4) & ~s.rlike(r"^\d+$") & s.rlike(pattern))
+    pieces = pieces.withColumn("sentences", merge_fragment_array(F.col("sentences")))
+    kept = F.filter("sentences", lambda s: (F.length(s) >= 4) & ~s.rlike(r"^\d+$") & s.rlike(pattern))
     rows = explode_sentences(pieces, kept)
     s, norm, flags = F.col("sentence"), T.normalize_sentence(F.col("sentence")), T.integrity_flags(F.col("sentence"), min_tokens)
     out = rows.select(
