@@ -86,10 +86,18 @@ def merge_fragments(pieces: DataFrame, doc: str = "doc_id", order: str = "senten
     return joined.select(doc, order, finish_sentence(text).alias("sentence")).where("sentence <> ''")
 
 
-def merge_fragment_array(pieces: Column) -> Column:
-    """:func:`merge_fragments` within an array, without a shuffle: a fold where a piece is continued, else piece by piece."""
+def counting_fragments(pieces: Column) -> Column:
+    """The pieces trimmed, without blanks, page numbers and "table of contents"."""
     trimmed = F.transform(pieces, T.squeeze_ends)
-    real = F.filter(trimmed, lambda s: (s != "") & ~s.rlike(r"^\d+$") & (F.lower(s) != "table of contents"))
+    return F.filter(trimmed, lambda s: (s != "") & ~s.rlike(r"^\d+$") & (F.lower(s) != "table of contents"))
+
+
+def merge_fragment_array(pieces: Column, counted: bool = False) -> Column:
+    """:func:`merge_fragments` within an array, without a shuffle: a fold where a piece is continued, else piece by piece.
+
+    ``pieces`` is used several times; give a column of :func:`counting_fragments` with ``counted`` to evaluate those once.
+    """
+    real = pieces if counted else counting_fragments(pieces)
     goes_on = lambda a, b: ~a.rlike("[.?!]$") & b.rlike(r"^\p{Ll}")
     n = F.size(real)
     any_open = F.exists(F.zip_with(F.slice(real, 1, F.greatest(n - 1, F.lit(0))), F.slice(real, 2, F.greatest(n - 1, F.lit(0))), goes_on), lambda x: x)
@@ -178,7 +186,8 @@ def sentence_table(filings: DataFrame, keywords: list[str], extractor: str = "re
     require_columns(filings, ("manifest_id", "filename", "cik", "year", "quarter", "form", "source_window_id", "text"), "filings")
     pattern = keyword_pattern(keywords)
     pieces = merge_page_fragments(filings.drop("sentence", "sentence_index").withColumn("sentences", segment(F.col("text"))))
-    pieces = pieces.withColumn("sentences", merge_fragment_array(F.col("sentences")))
+    pieces = pieces.withColumn("sentences", counting_fragments(F.col("sentences")))
+    pieces = pieces.withColumn("sentences", merge_fragment_array(F.col("sentences"), counted=True))
     kept = F.filter("sentences", lambda s: (F.length(s) >= 4) & ~s.rlike(r"^\d+$") & s.rlike(pattern))
     rows = explode_sentences(pieces, kept)
     s, norm, flags = F.col("sentence"), T.normalize_sentence(F.col("sentence")), T.integrity_flags(F.col("sentence"), min_tokens)
