@@ -7,9 +7,9 @@ small (a few dozen rows) and so is broadcast. Terms outside the templates count
 idf, so prose that merely mentions a licence scores low. A file's own licence is its best header's template at
 COSINE or more, ties to the smaller template id.
 
-Files named in LICENCE_FILES declare their licence for their directory. A file without a licence of its own takes
+Files named as in LICENCE_FILES, in any case and with any extension, declare their licence for their directory. A file without a licence of its own takes
 that of the nearest ancestor directory that declares one: its ancestors' paths are joined with the declarations and
-the longest wins. Directories that several files declare take the highest score, then the smaller template id.
+the longest wins. The root is an ancestor of every path: "" of relative paths, "/" of absolute ones. Directories that several files declare take the highest score, then the smaller template id.
 
 Cases: null or empty text has no headers; null paths have no ancestors; rows with the same path give a row each; an
 empty table gives no rows; other columns are ignored, whatever their names.
@@ -35,6 +35,7 @@ TEMPLATES = {
 LICENCE_FILES = ("LICENSE", "LICENCE", "COPYING", "NOTICE")
 TRIGGER = "(?i)licen[cs]e|copyright|redistribution|spdx"
 COSINE = 0.6
+_NAME = "(?i)^(?:" + "|".join(LICENCE_FILES) + ")(?:[._-].*)?$"
 
 
 def _terms(text: Column) -> Column:
@@ -81,17 +82,23 @@ def license_scan(files: DataFrame, templates: dict[str, str] | None = None) -> D
     rows = files.select("key", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     # a name made from the content: the same in every branch of the plan, whatever order the rows are read in
     rows = rows.withColumn("fid", F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("key", "path", "text")])))
-    own = header_scores(rows.select("fid", "text"), templates)
     parts = F.split("path", "/")
-    light = rows.select("fid", "key", "path", F.element_at(parts, -1).alias("name"), F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/").alias("dir"))
+    name = F.element_at(parts, -1)
+    own = header_scores(rows.select("fid", "text"), templates)
+    root = F.when(F.col("path").startswith("/"), "/").otherwise("")
+    folder = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/")
+    light = rows.select("fid", "key", "path", name.alias("name"), root.alias("root"), F.when(folder == "", root).otherwise(folder).alias("dir"))
     known = light.join(own, "fid", "left")
-    declared = known.where(F.col("licence").isNotNull() & F.col("name").isin(*LICENCE_FILES)).groupBy("dir").agg(_best_of().alias("x"))
+    declared = known.where(F.col("licence").isNotNull() & F.col("name").rlike(_NAME)).groupBy("dir").agg(_best_of().alias("x"))
     lacking = known.where("licence is null and path is not null").select("fid", "dir")
     segments = F.split("dir", "/")
     up = lacking.select("fid", F.explode(F.transform(F.sequence(F.lit(1), F.size(segments)), lambda n: F.array_join(F.slice(segments, 1, n), "/"))).alias("dir"))
-    up = up.distinct()
-    nearest = up.join(declared, "dir").groupBy("fid").agg(F.max_by(F.struct("dir", "x.licence", "x.score"), F.length("dir")).alias("y"))
-    out = known.join(nearest, "fid", "left")
+    up = up.where("dir <> ''").distinct()
+    nearest = up.join(declared.where("dir not in ('', '/')"), "dir").groupBy("fid").agg(F.max_by(F.struct("dir", "x.licence", "x.score"), F.length("dir")).alias("y"))
+    # every path has a root, so the roots' declarations, two at most, aren't dealt by directory
+    roots = declared.where("dir in ('', '/')").select(F.col("dir").alias("root"), F.struct("dir", "x.licence", "x.score").alias("z"))
+    out = known.join(nearest, "fid", "left").join(F.broadcast(roots), "root", "left")
+    out = out.withColumn("y", F.when(F.col("licence").isNull() & F.col("path").isNotNull(), F.coalesce("y", "z")))
     source = F.when(F.col("licence").isNotNull(), "own").when(F.col("y").isNotNull(), "inherited").otherwise("none")
     return out.select("key", "path", F.coalesce("licence", "y.licence").alias("licence"), F.coalesce("score", "y.score").alias("score"), source.alias("found"), F.col("y.dir").alias("origin"))
 

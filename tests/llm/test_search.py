@@ -137,5 +137,13 @@ def test_licences_without_files(spark):
     assert L.license_scan(files(spark, ROWS).where("false")).count() == 0
 
 
+def test_licences_of_the_root_and_other_names(spark):
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    rows = [("LICENSE.txt", mit), ("src/x.py", PROSE), ("src/lib/COPYING.LESSER", gpl), ("src/lib/a/y.py", PROSE), ("/src/x.py", PROSE), ("/abs/license", gpl), ("/abs/b/x.py", PROSE), (None, PROSE)]
+    got = {r["key"]: (r["licence"], r["found"], r["origin"]) for r in L.license_scan(files(spark, rows)).collect()}
+    assert got[1] == ("MIT", "inherited", "") and got[3] == ("GPL-3.0", "inherited", "src/lib")
+    assert got[4] == (None, "none", None) and got[6] == ("GPL-3.0", "inherited", "/abs") and got[7] == (None, "none", None)
+
+
 def test_op7_matches_sql(spark):
     assert compare(QUERIES["op7_licenses_tfidf"](spark, DATA), SQL["op7_licenses_tfidf"]) is None
