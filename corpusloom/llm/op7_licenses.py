@@ -1,11 +1,13 @@
 """Operator 7 [native]: licence scan by sparse TF-IDF cosine, with inheritance from the nearest ancestor directory.
 
-DataFrame functions only. Every line of every whole text that holds a trigger word is a header (a whole licence file
-is scored too, as the sum of its header lines). Its terms are weighted by tf * idf and compared with the templates'
-weighted terms: the dot products come from an equi-join on the term with the template table, which is fixed and
-small (a few dozen rows) and so is broadcast. Terms outside the templates count in a header's norm with the largest
-idf, so prose that merely mentions a licence scores low. A file's own licence is its best header's template at
-COSINE or more, ties to the smaller template id.
+DataFrame functions only. A file's headers are its lines, the windows of up to WINDOW neighbouring pieces (lines that
+aren't blank, and the sentences of lines), and for a licence file the sum of its lines that hold a trigger word. A
+header's terms are weighted by tf * idf and compared with the weighted terms of the templates and, with an idf of their
+own, of the licences' titles and standard notices (FORMS): the dot products come from an equi-join on the term with
+these tables, which are fixed and small (a few dozen rows) and so are broadcast. Terms outside the table count in a
+header's norm with the largest idf, so prose that merely mentions a licence scores low. By the inequality of Cauchy and
+Schwarz a header whose shared terms have too little of a template's norm stays below COSINE, so it isn't scored. A SPDX identifier
+counts as a header of score 1. A file's own licence is its best header's at COSINE or more, ties to the smaller id.
 
 Files named as in LICENCE_FILES, in any case and with any extension, declare their licence for their directory. A file without a licence of its own takes
 that of the nearest ancestor directory that declares one: its ancestors' paths are joined with the declarations and
@@ -18,6 +20,8 @@ empty table gives no rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +39,22 @@ TEMPLATES = {
 LICENCE_FILES = ("LICENSE", "LICENCE", "COPYING", "NOTICE")
 TRIGGER = "(?i)licen[cs]e|copyright|redistribution|spdx"
 COSINE = 0.6
+WINDOW = 4
+#: Titles and standard notices.
+FORMS = (
+    ("Apache-2.0", "Apache License Version 2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
+SPDX = r"(?i)SPDX-License-Identifier:([ \t(]*[A-Za-z0-9.+-]+(?:[ \t)(]+(?:AND|OR|WITH)[ \t(]+[A-Za-z0-9.+-]+)*)"
 _NAME = "(?i)^(?:" + "|".join(LICENCE_FILES) + ")(?:[._-].*)?$"
+#: Words that alone don't make a notice.
+_COMMON = frozenset("a and any are as at by in is it of or the this to with".split())
 
 
 def _terms(text: Column) -> Column:
@@ -45,31 +64,96 @@ def _terms(text: Column) -> Column:
 
 def template_table(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """(licence, term, weight) with unit norm per licence, and ``idf`` of the term. As many rows as the templates have terms."""
-    spark = docs.sparkSession
-    rows = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "licence string, notice string")
-    n = len(templates or TEMPLATES)
-    tf = rows.select("licence", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf"))
+    return _weights(docs, sorted((templates or TEMPLATES).items())).drop("form")
+
+
+def _weights(docs: DataFrame, notices: list[tuple[str, str]]) -> DataFrame:
+    """(form, licence, term, weight, idf) of some notices (licence, notice), several of a licence perhaps."""
+    rows = docs.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(notices)], "form int, licence string, notice string")
+    n = len(notices)
+    tf = rows.select("form", "licence", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("form", "licence", "term").agg(F.count("*").alias("tf"))
     idf = tf.groupBy("term").agg((F.log(F.lit(1.0 + n) / (1 + F.count("*"))) + 1).alias("idf"))
     raw = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = raw.groupBy("licence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "licence").select("licence", "term", (F.col("w") / F.col("norm")).alias("weight"), "idf")
+    norm = raw.groupBy("form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norm, "form").select("form", "licence", "term", (F.col("w") / F.col("norm")).alias("weight"), "idf")
+
+
+def _needed(*tables: list[tuple[str, str]]) -> str:
+    """Pattern of words one of which a notice holds: without them, each notice's norm is below COSINE or made of _COMMON words."""
+    words: set[str] = set()
+    for notices in tables:
+        for mass in _masses(notices):
+            left = sum(mass.values())
+            enough = left * (COSINE - 1e-4) ** 2
+            for w in sorted(mass.keys() - _COMMON, key=lambda w: (w[0].isdigit(), -mass[w], w)):
+                if left < enough:
+                    break
+                left -= mass[w]
+                words.add(w)
+    return "(?i)(?<![a-z])(?:" + "|".join(re.escape(w) for w in sorted(words)) + ")(?![a-z])"
 
 
 def header_scores(files: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """(fid, licence, score) of the best template of each file's headers, COSINE or more. ``files``: fid, text."""
-    table = template_table(files, templates)
-    top = math.log(1 + len(templates or TEMPLATES)) + 1
-    lines = files.where(F.col("text").rlike(TRIGGER)).select("fid", F.posexplode(F.filter(F.split("text", "\n"), lambda x: x.rlike(TRIGGER))).alias("line", "header"))
-    # the same line in many files is scored once
+    """(fid, licence, score) of the best template of each file's headers, COSINE or more. ``files``: fid, text, and ``whole`` for licence files."""
+    tables = [sorted((templates or TEMPLATES).items()), *([] if templates else [list(FORMS)])]
+    needed = _needed(*tables)
+    lines = F.split("text", "\n")
+    pieces = F.filter(F.split("text", r"\n|(?<=[.!?;:])[ \t\r]+"), lambda x: x.rlike("[A-Za-z0-9]"))
+    held = files.where(F.col("text").rlike(needed)).select("fid", "whole", lines.alias("lines"), pieces.alias("pieces"))
+    # only pieces near one that holds a needed word start a window
+    starts = F.filter(F.sequence(F.lit(1), F.size("pieces")), lambda i: F.exists(F.slice("pieces", i, F.lit(WINDOW)), lambda x: x.rlike(needed)))
+    windows = F.flatten(F.transform(starts, lambda i: F.transform(F.array(*map(F.lit, range(1, WINDOW + 1))), lambda n: F.array_join(F.slice("pieces", i, n), " "))))
+    whole = F.when(F.col("whole"), F.array(F.array_join(F.filter("lines", lambda x: x.rlike(TRIGGER)), "\n"))).otherwise(F.array().cast("array<string>"))
+    headers = F.filter(F.array_distinct(F.concat("lines", windows, whole)), lambda x: x.rlike(needed) & _possible(x, tables))
+    lines = held.where("size(pieces) > 0").select("fid", F.explode(headers).alias("header"))
+    # the same header in many files is scored once
     distinct = lines.select("header").distinct()
     tf = distinct.select("header", F.explode(_terms(F.col("header"))).alias("term")).groupBy("header", "term").agg(F.count("*").alias("tf"))
-    idf = table.select("term", "idf").distinct()
-    w = tf.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(top))).drop("idf")
-    norm = w.groupBy("header").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = w.join(F.broadcast(table.select("licence", "term", "weight")), "term").groupBy("header", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dot.join(norm, "header").select("header", F.struct(F.round(F.col("dot") / F.col("norm"), 6).alias("score"), "licence").alias("x")).where(F.col("x.score") >= COSINE)
-    best = scored.groupBy("header").agg(_best("x").alias("x"))
-    return lines.join(best, "header").groupBy("fid").agg(_best("x").alias("x")).select("fid", "x.licence", "x.score")
+    best = _scored(tf, [(_weights(files, x), math.log(1 + len(x)) + 1) for x in tables]).groupBy("header").agg(_best("x").alias("x"))
+    found = lines.join(best, "header").select("fid", "x")
+    if not templates:
+        found = found.unionByName(_spdx(files))
+    return found.groupBy("fid").agg(_best("x").alias("x")).select("fid", "x.licence", "x.score")
+
+
+def _possible(header: Column, tables: list[list[tuple[str, str]]]) -> Column:
+    """Whether the terms that a header shares with some notice, two at least, have COSINE of that notice's norm."""
+    fits = []
+    for notices in tables:
+        for mass in _masses(notices):
+            total = sum(mass.values())
+            shares = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(m / total).alias("m")) for w, m in sorted(mass.items())])
+            fits.append(shares)
+    words = F.array_distinct(_terms(header))
+    return F.exists(F.array(*fits), lambda f: F.aggregate(F.filter(f, lambda x: F.array_contains(words, x["w"])), F.struct(F.lit(0.0).alias("m"), F.lit(0).alias("n")), lambda acc, x: F.struct((acc["m"] + x["m"]).alias("m"), (acc["n"] + 1).alias("n")), lambda acc: (acc["m"] >= (COSINE - 1e-4) ** 2) & (acc["n"] > 1)))
+
+
+def _masses(notices: list[tuple[str, str]]) -> list[dict[str, float]]:
+    """Squared weights of each notice's terms."""
+    bags = [Counter(re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", notice.lower())) for _, notice in notices]
+    df = Counter(w for b in bags for w in b)
+    return [{w: (k * (math.log((1 + len(bags)) / (1 + df[w])) + 1)) ** 2 for w, k in b.items()} for b in bags]
+
+
+def _scored(tf: DataFrame, tables: list[tuple[DataFrame, float]]) -> DataFrame:
+    """(header, x: score and licence) at COSINE or more, from the headers' term counts. One shared term alone (as German "mit") isn't a notice."""
+    sides = [t.withColumn("kind", F.lit(k)) for k, (t, _) in enumerate(tables)]
+    table = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+    top = F.array(*[F.lit(x) for _, x in tables])
+    idf = table.select("kind", "term", "idf").distinct()
+    each = tf.withColumn("kind", F.explode(F.array(*map(F.lit, range(len(tables))))))
+    w = each.join(F.broadcast(idf), ["kind", "term"], "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.get(top, F.col("kind")))).drop("idf")
+    norm = w.groupBy("header", "kind").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dot = w.join(F.broadcast(table.select("kind", "form", "licence", "term", "weight")), ["kind", "term"]).groupBy("header", "kind", "form", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.count("*").alias("shared")).where("shared > 1")
+    return dot.join(norm, ["header", "kind"]).select("header", F.struct(F.round(F.col("dot") / F.col("norm"), 6).alias("score"), "licence").alias("x")).where(F.col("x.score") >= COSINE)
+
+
+def _spdx(files: DataFrame) -> DataFrame:
+    """(fid, x) of the identifiers after SPDX tags that name a template's licence."""
+    known = F.create_map(*[F.lit(x) for k in TEMPLATES for x in (k.lower(), k)])
+    tags = files.where(F.col("text").contains("SPDX") | F.col("text").contains("spdx")).select("fid", F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).alias("tag"))
+    ids = tags.select("fid", F.explode(F.split(F.lower("tag"), r"[ \t()]+")).alias("id")).select("fid", known[F.regexp_replace("id", r"(-only|-or-later|\+)$", "")].alias("licence"))
+    return ids.where("licence is not null").select("fid", F.struct(F.lit(1.0).alias("score"), "licence").alias("x"))
 
 
 def _best(x: str) -> Column:
@@ -84,7 +168,7 @@ def license_scan(files: DataFrame, templates: dict[str, str] | None = None) -> D
     rows = rows.withColumn("fid", F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("key", "path", "text")])))
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
-    own = header_scores(rows.select("fid", "text"), templates)
+    own = header_scores(rows.select("fid", "text", F.coalesce(name.rlike(_NAME), F.lit(False)).alias("whole")), templates)
     root = F.when(F.col("path").startswith("/"), "/").otherwise("")
     folder = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/")
     light = rows.select("fid", "key", "path", name.alias("name"), root.alias("root"), F.when(folder == "", root).otherwise(folder).alias("dir"))

@@ -137,6 +137,20 @@ def test_licences_without_files(spark):
     assert L.license_scan(files(spark, ROWS).where("false")).count() == 0
 
 
+def test_licences_over_several_lines(spark):
+    rows = [
+        ("m.c", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this file */"),
+        ("g.c", "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."),
+        ("s.c", "// SPDX-License-Identifier: MIT"),
+        ("l.txt", PROSE + " It is released under the MIT License. " + PROSE),
+        ("p/LICENSE", "\n   Apache License\n   Version 2.0, January 2004\n   http://www.apache.org/licenses/\n"),
+        ("p/q.txt", PROSE),
+        ("i.c", "SPDX-License-Identifier: ISC"),
+    ]
+    got = {r["path"]: (r["licence"], r["found"]) for r in L.license_scan(files(spark, rows)).collect()}
+    assert got == {"m.c": ("MPL-2.0", "own"), "g.c": ("GPL-3.0", "own"), "s.c": ("MIT", "own"), "l.txt": ("MIT", "own"), "p/LICENSE": ("Apache-2.0", "own"), "p/q.txt": ("Apache-2.0", "inherited"), "i.c": (None, "none")}
+
+
 def test_licences_of_the_root_and_other_names(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [("LICENSE.txt", mit), ("src/x.py", PROSE), ("src/lib/COPYING.LESSER", gpl), ("src/lib/a/y.py", PROSE), ("/src/x.py", PROSE), ("/abs/license", gpl), ("/abs/b/x.py", PROSE), (None, PROSE)]
