@@ -33,6 +33,10 @@ class Fit:
         return [(model, k, float(c), float(s), float(t), float(p), self.n) for k, c, s, t, p in zip(self.terms, self.coef, self.se, self.t, self.p, strict=True)]
 
 
+class TooManyEffects(ValueError):
+    """More entities than dummies are solved for; :func:`within_ols` takes any number."""
+
+
 def fe_ols(panel: DataFrame, y: str, xs: list[str], entity: str, time: str, max_effects: int = 2000) -> Fit:
     """OLS of y on xs with entity and time dummies and errors clustered by entity.
 
@@ -46,7 +50,7 @@ def fe_ols(panel: DataFrame, y: str, xs: list[str], entity: str, time: str, max_
     cells = moments.limit(max_effects * 200 + 1).collect()
     entities, times = sorted({r[entity] for r in cells}), sorted({r[time] for r in cells})
     if len(entities) > max_effects or len(cells) > max_effects * 200:
-        raise ValueError("too many entities for dummies; use within_ols")
+        raise TooManyEffects("too many entities for dummies; use within_ols")
     # order: constant, xs, entity dummies but the first, time dummies but the first
     ei = {e: 1 + len(xs) + k - 1 for k, e in enumerate(entities)}
     ti = {t: len(xs) + len(entities) + k - 1 for k, t in enumerate(times)}
@@ -119,15 +123,30 @@ def within_ols(panel: DataFrame, y: str, xs: list[str], entity: str, time: str,
 COEFFICIENTS = "model string, term string, coef double, se double, t double, p double, n long"
 
 
-def run_models(panel: DataFrame, specs: dict[str, tuple[str, list[str]]], entity: str, time: str) -> DataFrame:
-    """Coefficient table of several models; a model whose columns are absent or that can't be solved is left out."""
+def _varying(panel: DataFrame, y: str, xs: list[str], entity: str, time: str) -> list[str]:
+    """The terms that differ within some entity, in the rows that a model of y on all of them uses."""
+    df = panel.select(entity, time, *[finite(F.col(c)).alias(c) for c in [y, *xs]]).na.drop()
+    spread = df.groupBy(entity).agg(*[(F.min(c) < F.max(c)).alias(c) for c in xs])
+    found = spread.agg(*[F.max(c).alias(c) for c in xs]).first()
+    return [c for c in xs if found[c]]
+
+
+def run_models(panel: DataFrame, specs: dict[str, tuple[str, list[str]]], entity: str, time: str, max_effects: int = 2000) -> DataFrame:
+    """Coefficient table of several models, by the within estimator (no intercept; terms that the entities absorb are left
+    out) where there are too many entities for dummies. A model whose columns are absent or that is singular is left out.
+    """
     rows = []
     for name, (y, xs) in specs.items():
         if not {y, *xs} <= set(panel.columns):
             continue
         try:
-            rows += fe_ols(panel, y, xs, entity, time).rows(name)
-        except (ValueError, np.linalg.LinAlgError):
+            try:
+                rows += fe_ols(panel, y, xs, entity, time, max_effects).rows(name)
+            except TooManyEffects:
+                vary = _varying(panel, y, xs, entity, time)
+                if vary:
+                    rows += within_ols(panel, y, vary, entity, time).rows(name)
+        except np.linalg.LinAlgError:
             continue
     return panel.sparkSession.createDataFrame(rows, COEFFICIENTS)
 

@@ -329,11 +329,10 @@ def e3_margin_argmax(t):
 
 @query()
 def f2_fe_ols(t):
-    """Fixed-effects regression on the customer-year panel of the first customers' nations."""
-    p = _panel(t).join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_acctbal"), "o_custkey")
-    cells = p.groupBy("c_nationkey", "year").agg(F.avg("sales").alias("sales"), F.avg("orders").alias("orders"), F.avg("c_acctbal").alias("balance"))
-    cells = cells.withColumn("ln_sales", F.log("sales"))
-    out = G.run_models(cells, {"m1": ("ln_sales", ["orders"]), "m2": ("ln_sales", ["orders", "balance"])}, "c_nationkey", "year")
+    """Fixed-effects regression on the customer-year panel, customers as entities; m2's balance is absorbed by them."""
+    p = _panel(t).join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("balance")), "o_custkey")
+    p = p.withColumn("ln_sales", F.log("sales"))
+    out = G.run_models(p, {"m1": ("ln_sales", ["orders"]), "m2": ("ln_sales", ["orders", "balance"])}, "o_custkey", "year")
     return out.withColumns({c: F.round(c, 6) for c in ("coef", "se", "t", "p")})
 
 

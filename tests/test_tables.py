@@ -246,6 +246,16 @@ def test_regression_against_numpy(spark):
     assert {x.model for x in table.collect()} == {"a"} and G.journal_table(table).count() == 2
 
 
+def test_models_of_many_entities_use_the_within_estimator(spark):
+    r = np.random.default_rng(5)
+    rows = [(f, t, float(f % 7), float(x), float(2 * x + f % 5 + 0.3 * t + r.standard_normal() * 0.1)) for f in range(30) for t in range(3) for x in r.standard_normal(1)]
+    df = frame(spark, "firm int, year int, size double, x double, y double", rows)
+    few = {(x.model, x.term): x for x in G.run_models(df, {"a": ("y", ["x"])}, "firm", "year").collect()}
+    many = {(x.model, x.term): x for x in G.run_models(df, {"a": ("y", ["x"]), "b": ("y", ["x", "size"])}, "firm", "year", max_effects=20).collect()}
+    assert set(many) == {("a", "x"), ("b", "x")}  # a constant of the entity is absorbed
+    assert many["a", "x"].coef == pytest.approx(few["a", "x"].coef) and many["a", "x"].n == 90
+
+
 def test_graphs(spark):
     nodes, edges = ["a", "b", "c", "d"], [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")]
     assert P.topological_order(nodes, edges) == ["a", "b", "c", "d"]
