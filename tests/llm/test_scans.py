@@ -92,6 +92,14 @@ def test_e_bh_thresholds():
     assert S.thresholds({(5, 3): 1}, {5: 3}) == {}
 
 
+@pytest.mark.parametrize("text", ["AWS_SECRET_ACCESS_KEY={}", "key={}", "https://a.example/x?sig={}&v=1", "Authorization={}==", "https://a.example/some-page_of/the+site/{}/end"])
+def test_secrets_after_a_name_or_in_a_url(text):
+    r = random.Random(11)
+    run = "".join(r.choice(S.ENCODINGS["base62"]) for _ in range(40))
+    found = S.candidates(text.format(run), S.base_spans(text.format(run)))
+    assert [x[3].rstrip("=") for x in found if x[4] >= S.P_RANDOM] == [run]
+
+
 def test_op9_on_messy_rows(spark):
     rows = P.find_personal_data(spark, documents(spark)).collect()
     want = Counter()
