@@ -87,3 +87,16 @@ def test_checks_on_sentences(spark):
     assert [r[0] for r in df.select(S.incomplete(F.col("x"))).collect()] == [False, True, True, True, True]
     acc = S.merge_accounting(spark.createDataFrame([(10, 8, 9)], "segmented int, after_page int, after_sentence int")).first()
     assert (acc.page_merges, acc.sentence_merges) == (2, 0)
+
+
+def test_paths_and_redaction_take_all_rows(spark):
+    from types import SimpleNamespace
+
+    from corpusloom.plans import label_queries as Q
+
+    orders = spark.createDataFrame([(123456, 7), (9, 8), (10001, 7)], "o_orderkey long, o_custkey long")
+    docs = spark.createDataFrame([(1, "a risk-free task"), (2, "key sk-" + "ab" * 12 + " here")], "doc_id long, text string")
+    s8, s12 = (getattr(q, "__wrapped__", q) for q in (Q.s8_prefer_paths, Q.s12_redact))
+    t = SimpleNamespace(spark=spark, orders=orders, documents=docs)
+    assert {r.path for r in s8(t).collect()} == {"/r123456/2024/f7.txt", "/r00009/2024/f8.txt"}
+    assert {r.doc_id: r.text for r in s12(t).collect()} == {1: "a risk-free task [REDACTED_SECRET] end", 2: "key [REDACTED_SECRET] here [REDACTED_SECRET] end"}
