@@ -20,6 +20,18 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def ratio_unguarded(a: Column, b: Column) -> Column:
+    """a / b as floating point divides: plus or minus infinity where b is 0 and a isn't, NaN for 0 / 0, null for null."""
+    x, y = a.cast("double"), b.cast("double")
+    zero = F.when(x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf"))).when(x.isNotNull(), F.lit(float("nan")))
+    return F.when(y == 0, zero).otherwise(F.try_divide(x, y))
+
+
+def market_cap(price: Column, shares: Column) -> Column:
+    """Absolute price (quotes are marked by a negative sign) times shares outstanding."""
+    return F.abs(price.cast("double")) * shares
+
+
 def growth(now: Column, before: Column) -> Column:
     return ratio(now - before, F.abs(before))
 

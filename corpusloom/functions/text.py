@@ -154,6 +154,12 @@ def ff12_name(code: Column) -> Column:
     return F.get(F.array(*[F.lit(name) for _, name, _ in FF12]), code - 1)
 
 
+def sic2(sic: Column) -> Column:
+    """First two digits of a four-digit industry code as a number (truncated hundredths); null where it isn't a number."""
+    n = sic.cast("string").try_cast("double").try_cast("int")
+    return F.when(n.isNotNull(), F.floor(n / 100)).cast("int")
+
+
 #: Fixed value: words that mark a sentence as an edge case.
 EDGE_WORDS = r"(?i)\b(may|might|could|intend|plan|expect|future|transform|revolution|generative ai|risk|uncertain|aim|seek|hope)\b"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.contracts import LABELS
 from corpusloom.functions.numbers import log1p_count
+from corpusloom.operators.windows import interpolated_percentiles
 
 
 def label_counts(rows: DataFrame, keys: list[str], label: str, labels: tuple[str, ...] = LABELS, keep_empty: DataFrame | None = None) -> DataFrame:
@@ -84,8 +85,10 @@ def share_pathologies(rows: DataFrame, key: str, label: str, labels: tuple[str,
 
 
 def token_summary(rows: DataFrame, count: str) -> DataFrame:
-    """count, min, median (interpolated), mean, max."""
-    return rows.agg(F.count(count).alias("n"), F.min(count).alias("min"), F.percentile(count, 0.5).alias("median"), F.avg(count).alias("mean"), F.max(count).alias("max"))
+    """count, min, median (interpolated), mean, max; one row."""
+    one = rows.agg(F.count(count).alias("n"), F.min(count).alias("min"), F.avg(count).alias("mean"), F.max(count).alias("max"))
+    middle = interpolated_percentiles(rows, count, (0.5,)).agg(F.first("_q").alias("_q"))  # one row, also without values
+    return one.crossJoin(F.broadcast(middle)).select("n", "min", F.col("_q")[0].alias("median"), "mean", "max")
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
@@ -165,8 +168,26 @@ def repeated_blockers(blockers: DataFrame, stem: Column) -> DataFrame:
     return blockers.groupBy("type", stem.alias("stem")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids")).where("n > 1")
 
 
+#: Percentiles that a profile shows.
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, mean, std, min, q25, q50, q75, max, duplicates) of some numeric columns: exact interpolated quartiles,
+    sample standard deviation, and on every row the number of rows of the whole table that repeat an earlier one."""
+    repeated = df.groupBy(F.xxhash64(*df.columns), F.md5(F.to_json(F.struct(*df.columns)))).agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("duplicates"))
+    parts = None
+    for c in columns:
+        x = F.col(c).cast("double")
+        one = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+        q = interpolated_percentiles(df, c, QUARTILES).agg(F.first("_q").alias("_q"))
+        row = one.crossJoin(F.broadcast(q)).select(F.lit(c).alias("column"), "n", "mean", "std", "min", *[F.col("_q")[k].alias(f"q{round(100 * p)}") for k, p in enumerate(QUARTILES)], "max")
+        parts = row if parts is None else parts.unionByName(row)
+    return parts.crossJoin(F.broadcast(repeated))
+
+
 def profile(df: DataFrame) -> DataFrame:
-    """(column, kind, n, missing, distinct, min, max, mean) of every column in one pass; min, max as text, mean of numbers only."""
+    """(column, kind, n, missing, distinct, min, max, mean) of every column in one pass; min, max as text, mean of numbers only, distinct values by sketch."""
     numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
     plain = [(c, t) for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
     mean = lambda c, t: F.avg(c) if t in numeric else F.lit(None).cast("double")

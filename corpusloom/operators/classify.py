@@ -213,6 +213,25 @@ def classify_evaluator(rows: DataFrame, sentence: str, scores: tuple[str, str, s
     return out.withColumn("label_pred", label).withColumn("fine_margin", spread).drop("_a", "_s")
 
 
+def batch_plan(files: DataFrame, outputs: DataFrame, key: str, centroids_modified=None, force: bool = False, refresh: bool = True, limit: int | None = None) -> DataFrame:
+    """What a batch run does with each file: ``action`` run, skip or refresh (the centroids are newer than its output).
+
+    ``outputs``: key and ``modified`` of what is there. Forced runs do every file; ``limit`` files in key order are
+    looked at (the run's own option).
+    """
+    work = files.orderBy(key).limit(limit) if limit is not None else files
+    there = outputs.groupBy(key).agg(F.max("modified").alias("_out"))
+    old = F.lit(False) if centroids_modified is None or not refresh else F.col("_out") < F.lit(centroids_modified)
+    action = F.when(F.lit(force) | F.col("_out").isNull(), "run").when(old, "refresh").otherwise("skip")
+    return work.join(there, key, "left").withColumn("action", action).drop("_out")
+
+
+def classify_files(sentences: DataFrame, plan: DataFrame, key: str, scores: tuple[str, str, str], **options) -> DataFrame:
+    """The cascade over the sentences of the files that a :func:`batch_plan` runs or refreshes."""
+    due = plan.where("action <> 'skip'").select(key).distinct()
+    return classify(sentences.join(due, key, "left_semi"), "sentence", scores, **options)
+
+
 def hashed_vector(sentence: Column, dims: int = 64) -> Column:
     """Stand-in for a sentence encoder: token counts in ``dims`` hash buckets, JVM-side."""
     bucket = F.transform(T.tokens(T.normalize_sentence(F.coalesce(sentence, F.lit("")))), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.contracts import LABELS
 from corpusloom.functions import text as T
 from corpusloom.operators.neardup import near_duplicate_pairs, resolve
+from corpusloom.operators.windows import first_of_cells
 
 
 def suggest_labels(sentences: DataFrame, classified: DataFrame) -> DataFrame:
@@ -34,15 +35,22 @@ def dedupe_exact(rows: DataFrame, order: list[str]) -> DataFrame:
     return best.select(*[F.col(f"_b.{c}").alias(c) if c in fields else F.col(c) for c in rows.columns])
 
 
+#: Near-duplicate pairs of a labelling batch that are resolved on the driver.
+MAX_PAIRS = 1_000_000
+
+
 def dedupe_near(rows: DataFrame, id_col: str = "sample_id", threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """(kept rows, conflicts): near-duplicates of one label keep the first, of two labels go both.
 
-    Pairs come from the distributed join; the order-dependent resolution runs on the pair list of a labelling batch.
+    Pairs come from the distributed join; the order-dependent resolution runs on the driver, on a labelling batch's pairs
+    (MAX_PAIRS at most, more raise an error).
     """
     pairs = near_duplicate_pairs(rows, id_col, "sentence_norm", threshold)
     label = rows.select(F.col(id_col).alias("id"), "label")
     named = pairs.join(label.select(F.col("id").alias("id_a"), F.col("label").alias("label_a")), "id_a").join(label.select(F.col("id").alias("id_b"), F.col("label").alias("label_b")), "id_b")
-    found = named.collect()
+    found = named.limit(MAX_PAIRS + 1).collect()
+    if len(found) > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} near-duplicate pairs in a labelling batch: drop exact copies first")
     labels = {r.id_a: r.label_a for r in found} | {r.id_b: r.label_b for r in found}
     gone, conflicts = resolve([(r.id_a, r.id_b) for r in found], labels)
     kind = dict(rows.dtypes)[id_col]
@@ -53,23 +61,28 @@ def dedupe_near(rows: DataFrame, id_col: str = "sample_id", threshold: float = 0
     return rows.join(drop, id_col, "left_anti"), spark.createDataFrame(out, f"sample_id_a {kind}, sample_id_b {kind}, label_a string, label_b string, similarity double, reason string")
 
 
-def irr_subset(rows: list[dict], fraction: float = 0.1, min_per_class: int = 5, seed: int = 13) -> list[dict]:
+def irr_subset(rows: list[dict], fraction: float = 0.1, min_per_class: int = 5, seed: int = 13, totals: dict[tuple, int] | None = None) -> list[dict]:
     """Subset to be rated twice: a minimum of each class spread over strata, then a fill by class deficit.
 
-    ``rows``: sample_id, label, stratum (a labelled data set, collected). Each pick changes the next one's order, so
-    this is a driver loop; ties break by a seeded draw, then sample_id.
+    ``rows``: sample_id, label, stratum. Each pick changes the next one's order, but rows of one class and stratum differ by
+    their draws alone, so a pick compares the first rows of these cells. Ties break by a seeded draw (a row's
+    ``draw`` where given), then sample_id. ``totals``: rows per (label, stratum), where ``rows`` holds only the first of each.
     """
     rows = sorted((r for r in rows if r["label"] in LABELS), key=lambda r: r["sample_id"])
-    n = len(rows)
+    size: dict[tuple, int] = {k: n for k, n in (totals or {}).items() if k[0] in LABELS}
+    if not totals:
+        for r in rows:
+            size[r["label"], r["stratum"]] = size.get((r["label"], r["stratum"]), 0) + 1
+    n = sum(size.values())
     if not n:
         return []
-    by = {x: [r for r in rows if r["label"] == x] for x in LABELS}
-    size = {r["stratum"]: sum(q["stratum"] == r["stratum"] for q in rows) for r in rows}
-    target = min(n, max(1, round(n * fraction), sum(min(min_per_class, len(v)) for v in by.values())))
-    want = {x: round(target * len(v) / n) for x, v in by.items()}
+    per_class = {x: sum(k for c, k in size.items() if c[0] == x) for x in LABELS}
+    strata = {s: sum(k for c, k in size.items() if c[1] == s) for _, s in size}
+    target = irr_target(per_class, fraction, min_per_class)
+    want = {x: round(target * k / n) for x, k in per_class.items()}
     for k in range(max(0, target - sum(want.values()))):
-        want[sorted(LABELS, key=lambda x: -len(by[x]))[k % len(LABELS)]] += 1
-    picked, per_stratum, per_label = [], dict.fromkeys(size, 0), dict.fromkeys(LABELS, 0)
+        want[sorted(LABELS, key=lambda x: -per_class[x])[k % len(LABELS)]] += 1
+    picked, per_stratum, per_label = [], dict.fromkeys(strata, 0), dict.fromkeys(LABELS, 0)
 
     def take(r: dict) -> None:
         picked.append(r)
@@ -78,18 +91,48 @@ def irr_subset(rows: list[dict], fraction: float = 0.1, min_per_class: int = 5,
 
     for k, x in enumerate(LABELS, 1):
         draw = random.Random(seed + k)
-        order = [(per_stratum[r["stratum"]], size[r["stratum"]], draw.random(), r["sample_id"], i) for i, r in enumerate(by[x])]
+        own = [r for r in rows if r["label"] == x]
+        order = [(per_stratum[r["stratum"]], strata[r["stratum"]], r["draw"] if "draw" in r else draw.random(), r["sample_id"], i) for i, r in enumerate(own)]
         for *_, i in sorted(order)[:min_per_class]:
-            take(by[x][i])
+            take(own[i])
     ids = {r["sample_id"] for r in picked}
     draw = random.Random(seed + 1000)
-    rest = [(draw.random(), r) for r in rows if r["sample_id"] not in ids]
-    while len(picked) < target and rest:
-        need = lambda r: max(0, want[r["label"]] - per_label[r["label"]])
-        best = min(rest, key=lambda x: (need(x[1]) == 0, -need(x[1]), per_stratum[x[1]["stratum"]], size[x[1]["stratum"]], x[0], x[1]["sample_id"]))
-        rest.remove(best)
-        take(best[1])
-    return sorted(picked, key=lambda r: r["sample_id"])
+    cells: dict[tuple, list] = {}
+    for r in rows:
+        if r["sample_id"] not in ids:
+            cells.setdefault((r["label"], r["stratum"]), []).append((r["draw"] if "draw" in r else draw.random(), r["sample_id"], r))
+    for q in cells.values():
+        q.sort(key=lambda x: x[:2], reverse=True)  # the next one is last
+
+    def rank(c: tuple) -> tuple:
+        need = max(0, want[c[0]] - per_label[c[0]])
+        return (need == 0, -need, per_stratum[c[1]], strata[c[1]], *cells[c][-1][:2])
+
+    while len(picked) < target and cells:
+        c = min(cells, key=rank)
+        take(cells[c].pop()[2])
+        if not cells[c]:
+            del cells[c]
+    return sorted(({k: v for k, v in r.items() if k != "draw"} for r in picked), key=lambda r: r["sample_id"])
+
+
+def irr_target(per_class: dict[str, int], fraction: float, min_per_class: int) -> int:
+    """Rows to be rated twice: the half-even share of all, one at least, and the minimum of each class."""
+    n = sum(per_class.values())
+    return min(n, max(1, round(n * fraction), sum(min(min_per_class, k) for k in per_class.values())))
+
+
+def irr_sample(rows: DataFrame, fraction: float = 0.1, min_per_class: int = 5, seed: int = 13) -> DataFrame:
+    """:func:`irr_subset` of a table of any size (sample_id, label, stratum): the driver sees the cells' counts and as many
+    first rows of each cell as are picked at most, which gives the subset that all rows would."""
+    ok = rows.where(F.col("label").isin(*LABELS))
+    per_class = {r["label"]: r["count"] for r in ok.groupBy("label").count().collect()}
+    if not per_class:
+        return ok
+    counts, first = first_of_cells(ok, ["label", "stratum"], "sample_id", irr_target(per_class, fraction, min_per_class), seed)
+    picked = irr_subset([r.asDict() for r in first], fraction, min_per_class, seed, {(r["label"], r["stratum"]): r["count"] for r in counts})
+    ids = rows.sparkSession.createDataFrame([(r["sample_id"],) for r in picked], f"sample_id {dict(rows.dtypes)['sample_id']}")
+    return ok.join(F.broadcast(ids), "sample_id")
 
 
 #: Columns that a second rater sees.
@@ -126,16 +169,20 @@ SCORE_KEYS = {"p_actionable": ("a", "actionable", "p_actionable"), "p_speculativ
 SCORE_NESTS = ("probs", "scores", "sims", "cos", "cosines")
 
 
-def unpack_scores(json: Column) -> dict[str, Column]:
-    """Scores of a JSON object whatever their keys' case or nest; the outer object wins."""
-
-    def inside(at: str) -> dict[str, Column]:
-        obj = F.from_json(json if not at else F.get_json_object(json, f"$.{at}"), "map<string,string>")
-        low = F.transform_keys(obj, lambda k, v: F.lower(k))
-        return {name: F.coalesce(*[F.try_element_at(low, F.lit(k)).try_cast("double") for k in keys]) for name, keys in SCORE_KEYS.items()}
-
-    parts = [inside(at) for at in ("", *SCORE_NESTS)]
-    return {name: F.coalesce(*[p[name] for p in parts]) for name in SCORE_KEYS}
+def unpack_scores(json: Column, depth: int = 2) -> dict[str, Column]:
+    """Scores of a JSON object whatever their keys' case or nest, nests within nests down to ``depth``; outer objects win."""
+    found: dict[str, list[Column]] = {name: [] for name in SCORE_KEYS}
+    level = [json]
+    for d in range(depth + 1):
+        below = []
+        for obj in level:
+            low = F.transform_keys(F.from_json(obj, "map<string,string>"), lambda k, v: F.lower(k))
+            for name, keys in SCORE_KEYS.items():
+                found[name] += [F.try_element_at(low, F.lit(k)).try_cast("double") for k in keys]
+            if d < depth:
+                below += [F.get_json_object(obj, f"$.{at}") for at in SCORE_NESTS]
+        level = below
+    return {name: F.coalesce(*cols) for name, cols in found.items()}
 
 
 def parse_reply(text: Column, labels: tuple[str, ...] = LABELS, confidence: tuple[str, ...] = ("low", "medium", "high")) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def topological_order(nodes: list[str], edges: list[tuple[str, str]]) -> list[str]:
+def topological_order(nodes: list, edges: list[tuple]) -> list:
     """Kahn's order, smallest name first among the ready; raises on a cycle."""
     import heapq
 
@@ -32,21 +32,34 @@ def topological_order(nodes: list[str], edges: list[tuple[str, str]]) -> list[st
     return out
 
 
-def graph_metrics(spark: SparkSession, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per node: tasks downstream (transitive) and critical-path depth, by Spark SQL's recursive query.
+#: More nodes or edges than a project's plan can have are refused rather than gathered.
+MAX_GRAPH = 200_000
 
-    ``edges``: parent, child of an acyclic graph; ``nodes``: id.
+
+def graph_metrics(spark: SparkSession, edges: DataFrame, nodes: DataFrame, limit: int = MAX_GRAPH) -> DataFrame:
+    """Per node: tasks downstream (transitive) and critical-path depth; raises on a cycle.
+
+    ``edges``: parent, child (edges to or from ids that aren't nodes don't count); ``nodes``: id. Each node's set of
+    descendants is the union of its children's, taken once per edge from the leaves up, so the number of paths doesn't
+    matter. The graph, ``limit`` rows at most, is a bit set per node on the driver.
     """
-    edges.createOrReplaceTempView("_graph_edges")
-    nodes.createOrReplaceTempView("_graph_nodes")
-    return spark.sql("""
-        WITH RECURSIVE walk(root, id, depth) AS (
-          SELECT id, id, 1 FROM _graph_nodes
-          UNION ALL
-          SELECT w.root, e.child, w.depth + 1 FROM walk w JOIN _graph_edges e ON e.parent = w.id
-        )
-        SELECT root AS id, count(DISTINCT id) - 1 AS downstream, max(depth) AS depth FROM walk GROUP BY root
-    """)
+    ids = [r[0] for r in nodes.select("id").where("id is not null").distinct().limit(limit + 1).collect()]
+    pairs = [tuple(r) for r in edges.select("parent", "child").distinct().limit(limit + 1).collect()]
+    if max(len(ids), len(pairs)) > limit:
+        raise ValueError(f"a task graph has {limit} nodes and edges at most")
+    order = topological_order(sorted(ids), pairs)
+    place = {n: k for k, n in enumerate(order)}
+    children: dict = {n: [] for n in order}
+    for a, b in pairs:
+        if a in place and b in place:
+            children[a].append(b)
+    below, depth = dict.fromkeys(order, 0), dict.fromkeys(order, 1)
+    for n in reversed(order):
+        for c in children[n]:
+            below[n] |= below[c] | 1 << place[c]
+            depth[n] = max(depth[n], depth[c] + 1)
+    kind = dict(nodes.dtypes)["id"]
+    return spark.createDataFrame([(n, below[n].bit_count(), depth[n]) for n in order], f"id {kind}, downstream long, depth int")
 
 
 def readiness(tasks: DataFrame) -> DataFrame:
@@ -97,6 +110,23 @@ def top_by_status(scored: DataFrame, n: int = 3) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def reroute(tasks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(task, blocked_by, alternative): for each blocked task the best ready task that doesn't depend on it.
+
+    ``tasks``: id, status, score; ``edges``: parent, child. A blocked task's direct children can't stand in for it; of the
+    rest the ready task of highest score is proposed, ties by id; null where there is none. What is joined per blocked task is
+    the few best ready tasks (as many as its children, plus one), never all pairs.
+    """
+    width = F.coalesce(F.size("children"), F.lit(0)) + 1
+    ready = tasks.where("status = 'ready'").select("id", "score")
+    ranked = ready.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")))
+    below = edges.groupBy(F.col("parent").alias("id")).agg(F.collect_set("child").alias("children"))
+    blocked = tasks.where("status like 'blocked%'").select("id", F.col("status").alias("blocked_by")).join(below, "id", "left").withColumn("children", F.coalesce("children", F.array().cast(dict(below.dtypes)["children"])))
+    tried = blocked.withColumn("rank", F.explode(F.sequence(F.lit(1), width))).join(ranked.select("rank", F.col("id").alias("alternative")), "rank")
+    best = tried.where(~F.array_contains("children", F.col("alternative"))).groupBy("id").agg(F.min_by("alternative", "rank").alias("alternative"))
+    return blocked.select(F.col("id").alias("task"), "blocked_by").join(best.withColumnRenamed("id", "task"), "task", "left")
+
+
 def duration_seconds(start: Column, end: Column) -> Column:
     """Seconds between two ISO times, 0 at least and where either can't be read."""
     s = lambda c: F.try_to_timestamp(c).cast("double")

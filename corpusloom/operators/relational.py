@@ -79,9 +79,13 @@ def leaking(rows: DataFrame, held_out: DataFrame, key: str) -> DataFrame:
     return rows.join(held_out.select(key).distinct(), key, "left_semi")
 
 
-def update_by_map(rows: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
-    """``column`` replaced where ``updates`` has a non-null value for the key, all else kept."""
-    new = updates.groupBy(key).agg(F.first(column, ignorenulls=True).alias("_new"))
+def update_by_map(rows: DataFrame, updates: DataFrame, key: str, column: str, order: str | None = None) -> DataFrame:
+    """``column`` replaced where ``updates`` has a non-null value for the key, all else kept.
+
+    Of several values for a key the one of least ``order`` counts, without an order the least value.
+    """
+    known = updates.where(F.col(column).isNotNull())
+    new = known.groupBy(key).agg((F.min_by(column, F.struct(order, column)) if order else F.min(column)).alias("_new"))
     return rows.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
@@ -91,9 +95,47 @@ def upsert(rows: DataFrame, existing: DataFrame, key: str, columns: list[str]) -
     return rows.join(old, key, "left").withColumns({c: F.coalesce(f"{c}_existing", c) for c in columns}).drop(*[f"{c}_existing" for c in columns])
 
 
+def spine(a: DataFrame, b: DataFrame, limit: int = 100_000) -> DataFrame:
+    """All pairs of the distinct rows of two dimensions. The smaller is exploded from an array of ``limit`` rows at most
+    (counted first; more raise an error), so no join without a key is planned.
+    """
+    small = b.distinct()
+    rows = small.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ContractError(f"a spine's smaller side has {limit} rows at most")
+    if not rows:
+        return a.distinct().join(small, F.lit(False))
+    made = a.sparkSession.createDataFrame([(0, [tuple(r) for r in rows])], f"_k int, _b array<struct<{','.join(f'`{n}`:{t}' for n, t in small.dtypes)}>>")
+    return a.distinct().withColumn("_k", F.lit(0)).join(F.broadcast(made), "_k").select(*a.columns, F.explode("_b").alias("_b")).select(*a.columns, *[F.col(f"_b.{c}").alias(c) for c in b.columns])
+
+
 def missing_combinations(spine_a: DataFrame, spine_b: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of the two key spines (both small dimensions) that ``present`` lacks."""
-    return spine_a.distinct().crossJoin(spine_b.distinct()).join(present.select(*keys).distinct(), keys, "left_anti")
+    """Pairs of the two key spines (the second a small dimension, see :func:`spine`) that ``present`` lacks."""
+    return spine(spine_a, spine_b).join(present.select(*keys).distinct(), keys, "left_anti")
+
+
+def lookup_files(wanted: DataFrame, index: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(found: every wanted key with its files' paths, missing: wanted keys without a file)."""
+    want = wanted.select(*keys).distinct()
+    return want.join(index, keys), want.join(index.select(*keys).distinct(), keys, "left_anti")
+
+
+def split_complete(eligible: DataFrame, mapping: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(complete, gaps) of a left join that may fan out: rows whose mapped value is known, and the others."""
+    joined = eligible.join(mapping, key, "left")
+    known = F.col(value).isNotNull() & (F.col(value).cast("string") != "")
+    return joined.where(known), joined.where(~F.coalesce(known, F.lit(False)))
+
+
+def enrich_name(rows: DataFrame, by_id: DataFrame, by_ticker: DataFrame, id_col: str, ticker: str, name: str, own: str) -> DataFrame:
+    """``name`` from the lookup by id, else the one by ticker, else the row's own column; distinct rows.
+
+    Each lookup counts with its least name per key.
+    """
+    a = by_id.groupBy(id_col).agg(F.min(name).alias("_by_id"))
+    b = by_ticker.groupBy(ticker).agg(F.min(name).alias("_by_ticker"))
+    out = rows.join(a, id_col, "left").join(b, ticker, "left").withColumn(name, F.coalesce("_by_id", "_by_ticker", own))
+    return out.drop("_by_id", "_by_ticker").distinct()
 
 
 def set_difference_both_ways(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -133,6 +175,12 @@ def match_terms(orgs: DataFrame, org: str, terms: DataFrame, term: str) -> DataF
     return hit.where(F.contains(F.concat(F.lit(" "), F.array_join("_o", " "), F.lit(" ")), phrase)).drop("_o", "_t", "_first")
 
 
+def match_phrases(patents: DataFrame, org: str, terms: DataFrame, term: str, firm: str, patent: str) -> DataFrame:
+    """(patent, firm) pairs by :func:`match_terms`, each once however many of the firm's terms match; the least term is kept."""
+    hit = match_terms(patents.select(patent, org), org, terms.select(firm, term), term)
+    return hit.groupBy(patent, firm).agg(F.min(term).alias(term))
+
+
 def match_substrings(rows: DataFrame, text: str, terms: list[str]) -> DataFrame:
     """(row, term) for each term of a fixed list that a text contains, as plain text; one pass, no join."""
     found = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.lower(F.col(text)), F.lower(t)))

@@ -219,12 +219,46 @@ def pattern_version(keywords: list[str]) -> str:
     return hashlib.sha256("\n".join(keywords).encode()).hexdigest()[:16]
 
 
-def extraction_status(docs: DataFrame, keywords: list[str]) -> DataFrame:
-    """Per document: segmented, merged and kept sentence counts and a status (ok, empty)."""
+def extraction_status(docs: DataFrame, keywords: list[str], done: DataFrame | None = None, failed: DataFrame | None = None, key: str = "doc_id", force: bool = False) -> DataFrame:
+    """Per document: segmented and kept sentence counts (0 where nothing was read) and a status.
+
+    error: in ``failed`` (key); skipped_exists: in ``done`` (key) and not forced; else ok or empty. Skipped and failed
+    documents aren't segmented.
+    """
     pattern = keyword_pattern(keywords)
-    n = docs.withColumn("s", segment(F.col("text")))
+    none = docs.sparkSession.createDataFrame([], f"`{key}` {dict(docs.dtypes)[key]}")
+    mark = lambda df, name: (none if df is None else df.select(key).distinct()).withColumn(name, F.lit(True))
+    rows = docs.join(mark(failed, "_failed"), key, "left").join(mark(None if force else done, "_done"), key, "left")
+    before = F.when(F.col("_failed"), "error").when(F.col("_done"), "skipped_exists")
+    n = rows.withColumn("_before", before).withColumn("s", F.when(F.col("_before").isNull(), segment(F.col("text"))).otherwise(F.array().cast("array<string>")))
     kept = F.size(F.filter("s", lambda s: (F.length(s) >= 4) & ~s.rlike(r"^\d+$") & s.rlike(pattern)))
-    return n.select("doc_id", F.size("s").alias("segmented"), kept.alias("kept")).withColumn("status", F.when(F.col("kept") > 0, "ok").otherwise("empty"))
+    out = n.select(key, "_before", F.size("s").alias("segmented"), kept.alias("kept"))
+    return out.select(key, "segmented", "kept", F.coalesce("_before", F.when(F.col("kept") > 0, "ok").otherwise("empty")).alias("status"))
+
+
+def status_totals(status: DataFrame, group: str) -> DataFrame:
+    """Run totals per group (a year): documents of each status, and sentences segmented and kept."""
+    of = [F.count_if(F.col("status") == s).alias(s) for s in ("ok", "empty", "skipped_exists", "error")]
+    return status.groupBy(group).agg(F.count("*").alias("documents"), *of, F.sum("segmented").alias("segmented"), F.sum("kept").alias("kept"))
+
+
+#: Abbreviations whose full stop ends no sentence in the rule tier.
+ABBREVIATIONS = ("Inc", "Corp", "Co", "Ltd", "No", "Mr", "Mrs", "Ms", "Dr", "vs", "etc", "Fig", "approx")
+#: Fixed value: the rule tier's own keyword pattern.
+RULE_TIER_KEYWORDS = r"(?i)\b(artificial intelligence|machine learning|AI|deep learning)\b"
+
+
+def segment_rules(text: Column) -> Column:
+    """The second segmenter tier: as :func:`segment`, but neither abbreviations nor single capitals end a sentence."""
+    held = F.regexp_replace(F.coalesce(text, F.lit("")), r"\b(" + "|".join(ABBREVIATIONS) + r"|[A-Z])\.(\s)", "$1\u001e$2")
+    return F.transform(segment(held), lambda s: F.replace(s, F.lit("\u001e"), F.lit(".")))
+
+
+def clean_filings(docs: DataFrame, concrete: list[str], vague: list[str], key: str = "doc_id") -> DataFrame:
+    """(key, sentence_index, sentence, concrete, vague, score) of the rule tier's keyword sentences with their term scores."""
+    rows = explode_sentences(docs.select(key, "text"), segment_rules(F.col("text"))).drop("text")
+    hit = rows.where(F.col("sentence").rlike(RULE_TIER_KEYWORDS)).withColumn("_x", concreteness(F.col("sentence"), concrete, vague))
+    return hit.select(key, "sentence_index", "sentence", F.col("_x.concrete").alias("concrete"), F.col("_x.vague").alias("vague"), F.col("_x.score").alias("score"))
 
 
 #: Words near "ai" that make a vague mention.

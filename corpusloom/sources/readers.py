@@ -49,9 +49,9 @@ def filings_index(files: DataFrame, source_root: str = "", stamp: str = "") -> t
     return index.select(*FILINGS_INDEX), parts.where(F.col("_p.cik").isNull()).select("path")
 
 
-def filing_filter(index: DataFrame, forms: list[str] | None = None, years: list[int] | None = None) -> DataFrame:
-    """Only originals (no derived files), of the given forms and years."""
-    out = index
+def filing_filter(index: DataFrame, forms: list[str] | None = None, years: list[int] | None = None, window: str | None = None) -> DataFrame:
+    """Only originals (no derived files), of the given forms, years and source window."""
+    out = index.where(F.col("source_window_id") == window) if window else index
     for suffix in T.DERIVED_SUFFIXES:
         out = out.where(~F.col("filename").endswith(suffix))
     if forms:
@@ -149,6 +149,32 @@ def read_jdbc(spark: SparkSession, url: str, query: str, **options: str) -> Data
     return spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
 
 
+def company_table(companies: DataFrame) -> DataFrame:
+    """gvkey, cik, tic, conm of a company table whose column set varies: the ticker upper-cased, blank ids "" instead of null.
+
+    Where the table has no ``cik`` (the full projection fails there), the reduced one is taken and ``cik`` is "".
+    """
+    known = {c.lower(): c for c in companies.columns}
+    text = lambda c: F.when(F.col(known[c]).isNull(), "").otherwise(F.trim(F.col(known[c]).cast("string"))) if c in known else F.lit("")
+    if "gvkey" not in known:
+        raise ValueError("a company table needs gvkey")
+    return companies.select(F.col(known["gvkey"]).cast("string").alias("gvkey"), text("cik").alias("cik"), F.upper(text("tic")).alias("tic"), text("conm").alias("conm"))
+
+
+def dated_pull(rows: DataFrame, date: str, first: str, last: str, columns: list[str] | None = None) -> DataFrame:
+    """Rows dated ``first`` to ``last``, both included; the range reaches the scan as pushed filters."""
+    out = rows.where(F.col(date).between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")))
+    return out.select(*columns) if columns else out
+
+
+def in_list(rows: DataFrame, key: str, values: DataFrame | list, first_year: int | None = None, last_year: int | None = None, year: str = "fyear") -> DataFrame:
+    """A parameterised pull: rows whose key is one of ``values`` (a short list as a predicate, a table as a semi-join) in a year range."""
+    out = rows if first_year is None else rows.where(F.col(year).between(first_year, last_year))
+    if isinstance(values, list):
+        return out.where(F.col(key).isin(*values)) if values else out.where(F.lit(False))
+    return out.join(values.select(key).distinct(), key, "left_semi")
+
+
 def fundamentals(facts: DataFrame, ids: DataFrame, key: str, first_year: int, last_year: int, fixed: dict[str, str]) -> DataFrame:
     """Yearly facts of the wanted entities: fixed attributes, a year range and a semi-join on the ids."""
     out = facts.where(F.col("fyear").between(first_year, last_year))
