@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that a Python kernel holds expanded at a time.
+#: Bytes of text that a Python kernel holds expanded at a time, and bytes of words hashed at a time.
 SLICE_BYTES = 4 << 20
+HASH_BLOCK = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,11 +141,18 @@ class Words:
         if not len(self.start):
             self.hash = np.empty(0, np.uint64)
             return
-        first = np.concatenate(([0], np.cumsum(self.size)[:-1]))
-        place = np.arange(int(self.size.sum())) - np.repeat(first, self.size)
-        part = _BYTE[data[inside]]
-        part *= _places(int(self.size.max()))[place]
-        self.hash = mix64(np.add.reduceat(part, first) + self.size.astype(np.uint64))
+        self.hash = np.empty(len(self.start), np.uint64)
+        filled = np.concatenate(([0], np.cumsum(self.size)))
+        at = 0
+        while at < len(self.start):  # a block of words at a time: this step takes 25 bytes for each byte of text
+            end = max(at + 1, int(np.searchsorted(filled, filled[at] + HASH_BLOCK, side="right")) - 1)
+            lo, hi = int(self.start[at]), int(self.start[end - 1] + self.size[end - 1])
+            size, first = self.size[at:end], filled[at:end] - filled[at]
+            place = np.arange(int(filled[end] - filled[at])) - np.repeat(first, size)
+            part = _BYTE[data[lo:hi][inside[lo:hi]]]
+            part *= _places(int(size.max()))[place]
+            self.hash[at:end] = mix64(np.add.reduceat(part, first) + size.astype(np.uint64))
+            at = end
 
 
 def arrow(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from corpusloom.llm.op2_chunks import ChunkEncoder, encode_decode
-from corpusloom.llm.op5_packing import hilbert_index, pack, sequence_bounds
+from corpusloom.llm.op5_packing import curve_keys, hilbert_index, pack, ranges, sequence_bounds
 from corpusloom.llm.op8_binary import op8_binary_tokens
 from corpusloom.llm.tokens import default_vocabulary, vocabulary
 
@@ -103,6 +103,27 @@ def test_op5_on_messy_rows(spark):
     assert sum(r.length for r in rows) == sum(len(ids_of(t, 0)) for _, t in MESSY)
 
 
+def test_op5_follows_the_curve(spark):
+    """Documents lie in the stream in the order of their keys, whatever the ranges; a crowded key is spread over several."""
+    words = [f"word{i}" for i in range(300)]
+    rows = [(i, " ".join(words[(i * 37 + k * k) % 300] for k in range(20 + i % 60))) for i in range(400)]
+    rows += [(1000 + i, "the same text again and again " * 20) for i in range(300)]
+    docs = documents(spark, rows)
+    out = pack(spark, docs)
+    first = {r.doc_id: r.sequence_id * 1024 + r.offset for r in out.where("start = 0").collect()}
+    key = dict(zip([i for i, _ in rows], curve_keys([t for _, t in rows]).tolist(), strict=True))
+    order = sorted(first, key=first.get)
+    assert len(order) == len(rows) and [key[i] for i in order] == sorted(key.values())
+    cuts = ranges(spark.createDataFrame([(k, 100) for k in key.values()], "curve_key long, n_ids long"), 16)
+    assert cuts.count >= 8 and max(p for _, p in cuts.several.values()) > 4
+    keys = np.array(sorted(key.values()))
+    spread = cuts.assign(keys, np.arange(len(keys)))
+    lone = np.array([k not in cuts.several for k in keys.tolist()])
+    assert (np.diff(spread[lone]) >= 0).all() and spread.max() < cuts.count
+    counts = np.bincount(spread, minlength=cuts.count)
+    assert counts.max() < 3 * len(keys) / cuts.count
+
+
 def test_hilbert_curve_is_continuous():
     side = np.arange(8)
     cells = np.stack(np.meshgrid(side, side, side, indexing="ij"), -1).reshape(-1, 3)
