@@ -80,6 +80,10 @@ ROWS = [
     (None, "nothing"),
     ("a/x.txt", PROSE),
     ("ab/x.txt", PROSE),
+    ("m/LICENSE.txt", "Copyright 2020 The Authors\n\n" + dict(L.TEXTS)["MIT"].replace(". ", ".\n")),
+    ("m/y.txt", "plain"),
+    ("v.txt", "Licensed under the Apache License, Version 1.1"),
+    ("two.txt", "under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."),
 ]
 
 
@@ -88,31 +92,34 @@ def plain(rows):
     import re
 
     terms = lambda s: re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", s.lower())
-    n = len(L.TEMPLATES)
-    df = {}
-    for t in L.TEMPLATES.values():
-        for w in set(terms(t)):
-            df[w] = df.get(w, 0) + 1
-    idf = lambda w: math.log((1 + n) / (1 + df.get(w, 0))) + 1
-    vec = lambda s: {w: terms(s).count(w) * idf(w) for w in terms(s)}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+
+    def best(headers, table):
+        n, df, out = len(table), {}, []
+        for _, t in table:
+            for w in set(terms(t)):
+                df[w] = df.get(w, 0) + 1
+        vec = lambda s: {w: terms(s).count(w) * (math.log((1 + n) / (1 + df.get(w, 0))) + 1) for w in terms(s)}
+        for v in map(vec, headers):
+            for name, t in table:
+                u = vec(t)
+                score = round(sum(v[w] * u.get(w, 0) for w in v) / (norm(v) or 1) / norm(u), 6)
+                if score >= L.COSINE and len(v.keys() & u.keys()) > 1:
+                    out.append((-score, name))
+        return out
+
     own = []
-    for _, text in rows:
-        best = None
-        for line in (text or "").split("\n"):
-            if re.search(L.TRIGGER, line):
-                v = vec(line)
-                for name, t in L.TEMPLATES.items():
-                    u = vec(t)
-                    dot = sum(v[w] * u.get(w, 0) for w in v)
-                    score = round(dot / norm(v) / norm(u), 6)
-                    if score >= L.COSINE and (best is None or (-score, name) < (-best[1], best[0])):
-                        best = (name, score)
-        own.append(best)
+    for path, text in rows:
+        pieces = [p for p in re.sub(L._SENTENCE_END, "\\1\n", text or "").split("\n") if re.search("[A-Za-z0-9]", p)]
+        spans = {(a, b) for i, p in enumerate(pieces) if re.search(L.ANCHOR, p) for a in range(max(0, i - 3), i + 1) for b in range(i + 1, min(len(pieces), a + 4) + 1)}
+        hits = best([" ".join(pieces[a:b]) for a, b in spans], L.NOTICES)
+        if path and re.search(L._NAME, path.rpartition("/")[2]):
+            hits += best([text or ""], L.TEXTS)
+        own.append((min(hits)[1], -min(hits)[0]) if hits else None)
     folder = lambda p: p.rpartition("/")[0]
     declared = {}
     for (p, _), b in zip(rows, own, strict=True):
-        if b and p and p.rpartition("/")[2] in L.LICENCE_FILES:
+        if b and p and p.rpartition("/")[2].split(".")[0] in L.LICENCE_FILES:
             declared[folder(p)] = min(declared.get(folder(p), b), b, key=lambda x: (-x[1], x[0]))
     out = []
     for k, ((p, _), b) in enumerate(zip(rows, own, strict=True)):
@@ -131,6 +138,7 @@ def test_licences_and_inheritance(spark):
     assert got == sorted(plain(ROWS))
     by = {r[0]: r for r in got}
     assert by[1][2:3] == ("MIT",) and by[2][2] == "Apache-2.0" and by[4][4] == "own" and by[11][4] == "none"
+    assert by[13][2:5] == ("MIT", by[12][3], "inherited") and by[12][3] > 0.9 and by[14][2] == "Apache-1.1" and by[15][2] == "GPL-2.0"
 
 
 def test_licences_without_files(spark):
@@ -145,10 +153,11 @@ def test_licences_over_several_lines(spark):
         ("l.txt", PROSE + " It is released under the MIT License. " + PROSE),
         ("p/LICENSE", "\n   Apache License\n   Version 2.0, January 2004\n   http://www.apache.org/licenses/\n"),
         ("p/q.txt", PROSE),
-        ("i.c", "SPDX-License-Identifier: ISC"),
+        ("i.c", "SPDX-License-Identifier: (ISC OR nothing)"),
+        ("u.c", "SPDX-License-Identifier: Unknown-9"),
     ]
     got = {r["path"]: (r["licence"], r["found"]) for r in L.license_scan(files(spark, rows)).collect()}
-    assert got == {"m.c": ("MPL-2.0", "own"), "g.c": ("GPL-3.0", "own"), "s.c": ("MIT", "own"), "l.txt": ("MIT", "own"), "p/LICENSE": ("Apache-2.0", "own"), "p/q.txt": ("Apache-2.0", "inherited"), "i.c": (None, "none")}
+    assert got == {"m.c": ("MPL-2.0", "own"), "g.c": ("GPL-3.0", "own"), "s.c": ("MIT", "own"), "l.txt": ("MIT", "own"), "p/LICENSE": ("Apache-2.0", "own"), "p/q.txt": ("Apache-2.0", "inherited"), "i.c": ("ISC", "own"), "u.c": (None, "none")}
 
 
 def test_licences_of_the_root_and_other_names(spark):
