@@ -39,7 +39,7 @@ def s7_parse_vectors(t):
     return v.select("vec_id", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("SELECT 'f' || (o_custkey % 50) || '.txt' AS filename, arg_min(p, (CASE WHEN y THEN 0 ELSE 1 END) * 1000000 + length(p) * 10000 + o_orderkey) AS path FROM (SELECT o_orderkey, o_custkey, o_orderkey % 3 = 0 AS y, CASE WHEN o_orderkey % 3 = 0 THEN '/r' || lpad(CAST(o_orderkey AS VARCHAR), 5, '0') || '/2024/f' || (o_custkey % 50) || '.txt' ELSE '/r' || lpad(CAST(o_orderkey AS VARCHAR), 5, '0') || '/f' || (o_custkey % 50) || '.txt' END AS p FROM orders WHERE o_orderkey < 10000) GROUP BY 1")
+@query("SELECT 'f' || (o_custkey % 50) || '.txt' AS filename, arg_min(p, (CASE WHEN y THEN 0 ELSE 1 END) * 1000000000000 + length(p) * 100000000 + o_orderkey) AS path FROM (SELECT o_orderkey, o_custkey, o_orderkey % 3 = 0 AS y, CASE WHEN o_orderkey % 3 = 0 THEN '/r' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(5, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0') || '/2024/f' || (o_custkey % 50) || '.txt' ELSE '/r' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(5, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0') || '/f' || (o_custkey % 50) || '.txt' END AS p FROM orders) GROUP BY 1")
 def s8_prefer_paths(t):
     name = F.concat(F.lit("f"), F.col("o_custkey") % 50, F.lit(".txt"))
     key = F.col("o_orderkey").cast("string")
@@ -63,7 +63,7 @@ def s11_dates(t):
     return t.orders.select("o_orderkey", W.align_fiscal_year(F.year(d), F.month(d)).alias("fyear"), duration_seconds(d.cast("string"), F.lit("1998-01-01 00:00:00")).alias("seconds"))
 
 
-@query("""SELECT doc_id, regexp_replace(text || ' sk-proj-' || repeat('x1', 12) || ' end', 'sk-(proj-)?[A-Za-z0-9_-]{20,}', '[REDACTED_SECRET]', 'g') AS text FROM documents WHERE NOT contains(text, 'sk-')""")
+@query("""SELECT doc_id, regexp_replace(text || ' sk-proj-' || repeat('x1', 12) || ' end', 'sk-(proj-)?[A-Za-z0-9_-]{20,}', '[REDACTED_SECRET]', 'g') AS text FROM documents""")
 def s12_redact(t):
     return t.documents.select("doc_id", T.redact(F.concat("text", F.lit(" sk-proj-" + "x1" * 12 + " end"))).alias("text"))
 
@@ -128,17 +128,9 @@ def d10_panel_features(t):
     return out.select("o_custkey", "year", F.round("ActShare", 6).alias("act_share"), F.round("SpecMinusAct", 6).alias("spec_minus_act"), F.round("log_docs", 6).alias("log_docs"), "has_actionable", "has_spec_only")
 
 
-@query()
-def e6_evaluator_variant(t):
-    """The evaluator's cascade over keyword sentences with lexical stand-in scores: label counts."""
-    s = S.keyword_filter(S.explode_sentences(t.documents.select("doc_id", "text")).drop("text"), list(S.AI_KEYWORDS))
-    s = s.withColumns({"a": F.lit(0.4) + T.token_count(F.col("sentence")) / 200, "s": F.lit(0.45), "i": F.lit(0.3)})
-    return C.classify_evaluator(s, "sentence", ("a", "s", "i"), boosts=True).groupBy("label_pred", "rule").agg(F.count("*").alias("n"))
-
-
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) SELECT doc_id, count(*) AS lines, count(*) FILTER (NOT (regexp_matches(s, '^\p{Lu}') AND regexp_matches(s, '[.!?]$'))) AS incomplete FROM l GROUP BY doc_id""")
 def a14_completion_checks(t):
-    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("s"))
+    lines = t.texts.select("doc_id", F.explode(F.split("text", "\n")).alias("s"))
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(S.incomplete(F.col("s"))).alias("incomplete"))
 
 
@@ -157,6 +149,6 @@ def c21_profile(t):
 @query()
 def e7_hashed_centroids(t):
     """Keyword sentences as hashed vectors, their centroids by language, and the nearest centroid of each: a confusion count."""
-    s = S.keyword_filter(S.explode_sentences(t.documents.select("doc_id", "lang", "text")).drop("text"), list(S.AI_KEYWORDS))
+    s = S.keyword_filter(S.explode_sentences(t.texts.select("doc_id", "lang", "text")).drop("text"), list(S.AI_KEYWORDS))
     v = s.select("doc_id", "sentence_index", F.col("lang").alias("label"), C.hashed_vector(F.col("sentence")).alias("embedding"))
     return C.nearest_centroid(v, "embedding", A.centroids(v, "label", "embedding", 64)).groupBy("label", "nearest").agg(F.count("*").alias("n"))

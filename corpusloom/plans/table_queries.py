@@ -43,9 +43,9 @@ def b7_theta_contains(t):
     return R.match_substrings(t.part.select("p_partkey", "p_name"), "p_name", ["ring", "red", "get"]).select("p_partkey", "term")
 
 
-@query(r"SELECT s.p_partkey, b.p_name AS term FROM part s, (SELECT DISTINCT p_name FROM part WHERE p_partkey < 40) b WHERE regexp_matches(' ' || s.p_name || ' ', ' ' || b.p_name || ' ')")
+@query(r"SELECT s.p_partkey, b.p_name AS term FROM part s, (SELECT DISTINCT p_name FROM part) b WHERE contains(' ' || s.p_name || ' ', ' ' || b.p_name || ' ')")
 def b8_theta_phrase(t):
-    terms = t.part.where("p_partkey < 40").select(F.col("p_name").alias("term")).distinct()
+    terms = t.part.select(F.col("p_name").alias("term")).distinct()
     return R.match_terms(t.part.select("p_partkey", "p_name"), "p_name", terms, "term").select("p_partkey", "term")
 
 
@@ -236,10 +236,12 @@ def c18_run_timing(t):
     return out.select(F.round("total", 2).alias("total"), F.round("validation", 2).alias("validation"), "slowest_command", "reruns", "slowest_phase")
 
 
-@query("SELECT o_orderstatus AS type, substr(o_orderpriority, 1, 1) AS stem, count(*) AS n, min(o_orderkey) AS first_id FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
+@query("SELECT o_orderstatus AS type, CASE WHEN o_orderkey % 3 = 0 THEN 'tool' || substr(o_orderpriority, 1, 1) || '.py' WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE 'unknown' END AS stem, count(*) AS n, min(o_orderkey) AS first_id FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
 def c19_repeated_blockers(t):
-    b = t.orders.select(F.col("o_orderstatus").alias("type"), F.col("o_orderkey").alias("id"), "o_orderpriority")
-    return A.repeated_blockers(b, F.substring("o_orderpriority", 1, 1)).select("type", "stem", "n", F.col("ids")[0].alias("first_id"))
+    k = F.col("o_orderkey")
+    message = F.when(k % 3 == 0, F.concat(F.lit("Step command failed: /opt/bin/tool"), F.substring("o_orderpriority", 1, 1), F.lit(".py --go now"))).when(k % 3 == 1, F.col("o_orderpriority"))
+    b = t.orders.select(F.col("o_orderstatus").alias("type"), k.alias("id"), message.alias("message"))
+    return A.repeated_blockers(b, T.command_stem(F.col("message"))).select("type", "stem", "n", F.col("ids")[0].alias("first_id"))
 
 
 @query(f"WITH {_PANEL}, l AS (SELECT *, lag(sales) OVER (PARTITION BY o_custkey ORDER BY year) AS b FROM panel) SELECT o_custkey, year, b AS sales_lag, round((sales - b) / abs(b), 6) AS sales_growth FROM l")

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import aggregates as A
-from corpusloom.operators import classify as C
 from corpusloom.operators import planner as P
 from corpusloom.operators import relational as R
 from corpusloom.operators import sentences as S
-from corpusloom.operators.neardup import near_duplicate_pairs
+from corpusloom.operators.neardup import near_duplicate_classes
 from corpusloom.plans.registry import query
 
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -32,7 +31,7 @@ _TOKENS = r"len(list_filter(string_split_regex({0}, '\s+'), lambda t: t <> ''))"
 
 
 def _sentences(t):
-    return S.explode_sentences(t.documents.select("doc_id", "lang", "source", "text")).drop("text")
+    return S.explode_sentences(t.texts.select("doc_id", "lang", "source", "text")).drop("text")
 
 
 @query(f"WITH {SENTENCES} SELECT doc_id, sentence_index, sentence FROM sentences")
@@ -49,7 +48,7 @@ def a2_keyword_filter(t):
  SELECT doc_id, CAST(k AS INTEGER) AS sentence_index, norm AS sentence_norm, substr(sha1(norm), 1, 16) AS sentence_text_id,
  substr(sha1(source || '/' || doc_id || '.txt|' || k || '|' || norm), 1, 16) AS sentence_id FROM kept""")
 def a3_norm_ids(t):
-    docs = t.documents.select("doc_id", "source", "lang", "text")
+    docs = t.texts.select("doc_id", "source", "lang", "text")
     filings = docs.select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("filename"), F.lit("m").alias("manifest_id"), F.lit("1").alias("cik"), F.lit(2024).alias("year"), F.lit(1).alias("quarter"), F.lit("10-K").alias("form"), F.lit("w").alias("source_window_id"), "text")
     table = S.sentence_table(filings, list(S.AI_KEYWORDS))
     return table.select(F.regexp_extract("source_file", r"/(\d+)\.txt", 1).cast("long").alias("doc_id"), "sentence_index", "sentence_norm", "sentence_text_id", "sentence_id")
@@ -82,13 +81,13 @@ def a6_fragment_rate(t):
 @query("""SELECT doc_id, CAST(i AS INTEGER) AS line_no, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))
  WHERE regexp_matches(lines[i], 'token = "[0-9a-f]{16,}"')""")
 def a7_line_findings(t):
-    return P.line_findings(t.documents.select("doc_id", "text"), F.col("line").rlike('token = "[0-9a-f]{16,}"'))
+    return P.line_findings(t.texts.select("doc_id", "text"), F.col("line").rlike('token = "[0-9a-f]{16,}"'))
 
 
 @query("""WITH l AS (SELECT doc_id, i, trim(lines[i]) AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)))
  SELECT doc_id, count(DISTINCT line) AS unique_lines, count(*) AS all_lines FROM l WHERE line <> '' GROUP BY doc_id""")
 def a8_unique_lines(t):
-    docs = t.documents.select("doc_id", "text")
+    docs = t.texts.select("doc_id", "text")
     unique = P.document_lines(docs).groupBy("doc_id").agg(F.count("*").alias("unique_lines"))
     every = docs.select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("long").alias("all_lines")).where("all_lines > 0")
     return unique.join(every, "doc_id")
@@ -108,7 +107,7 @@ def a9_drop_reasons(t):
  SELECT doc_id, CAST(sum(opens) AS BIGINT) AS n FROM f GROUP BY doc_id""")
 def a10_merge_fragments(t):
     """Lines as fragments; merged sentences per document."""
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("sentence_index", "sentence"))
+    lines = t.texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("sentence_index", "sentence"))
     return S.merge_fragments(lines).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -128,7 +127,7 @@ def a11_entity_counts(t):
 @query(rf"""WITH {SENTENCES}, k AS (SELECT doc_id, count(*) AS segmented, count(*) FILTER ({_KEPT}) AS kept FROM sentences GROUP BY doc_id)
  SELECT d.doc_id, CAST(coalesce(segmented, 0) AS INTEGER) AS segmented, CAST(coalesce(kept, 0) AS INTEGER) AS kept, CASE WHEN coalesce(kept, 0) > 0 THEN 'ok' ELSE 'empty' END AS status FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id""")
 def a12_extraction_status(t):
-    return S.extraction_status(t.documents.select("doc_id", "text"), list(S.AI_KEYWORDS))
+    return S.extraction_status(t.texts.select("doc_id", "text"), list(S.AI_KEYWORDS))
 
 
 @query(rf"""WITH {SENTENCES}, w AS (SELECT doc_id, sentence_index, regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]') AS k FROM sentences),
@@ -171,7 +170,7 @@ def b3_distinct_sentences(t):
  x AS (SELECT count(*) AS o FROM (SELECT DISTINCT norm FROM a) x JOIN (SELECT DISTINCT norm FROM b) y USING (norm)), l AS (SELECT count(DISTINCT norm) AS l FROM a), r AS (SELECT count(DISTINCT norm) AS r FROM b)
  SELECT l AS left_distinct, r AS right_distinct, o AS overlap, round(o / least(l, r), 6) AS overlap_ratio, CASE WHEN o > 0 THEN 'overlapping' ELSE 'disjoint' END AS relationship FROM x, l, r""")
 def b4_dataset_relationship(t):
-    d = t.documents.select(F.col("text").alias("norm"), F.col("lang").alias("label"), "source")
+    d = t.texts.select(F.col("text").alias("norm"), F.col("lang").alias("label"), "source")
     first = F.col("source").isin("src0", "src1", "src2")
     return R.dataset_relationship(d.where(first), d.where(~first)).withColumn("overlap_ratio", F.round("overlap_ratio", 6))
 
@@ -182,25 +181,18 @@ def e4_modal_share(t):
     return s.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("m").alias("modal"))
 
 
-@query()
-def e5_rule_cascade(t):
-    """Rule cascade over keyword sentences with lexical stand-in scores (no encoder offline): label counts."""
-    s = S.keyword_filter(_sentences(t), list(S.AI_KEYWORDS))
-    n = T.token_count(F.col("sentence")).cast("double")
-    s = s.withColumns({"a": F.lit(0.4) + n / 200, "s": F.lit(0.45), "i": F.lit(0.3)})
-    return C.classify(s, "sentence", ("a", "s", "i")).groupBy("label_pred", "rule").agg(F.count("*").alias("n"))
-
-
 @query()
 def f1_near_duplicate_pairs(t):
-    """Near-duplicate normalised keyword sentences (ratio 0.95 or more)."""
-    s = S.keyword_filter(_sentences(t), list(S.AI_KEYWORDS)).select(T.normalize_sentence(F.col("sentence")).alias("norm"))
-    s = s.distinct().withColumn("id", F.xxhash64("norm"))
-    return near_duplicate_pairs(s, "id", "norm").select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+    """Every sentence with its class of equal normalised texts and the number of other texts near it (ratio 0.95 or more)."""
+    at = (F.col("doc_id") * 1_000_000 + F.col("sentence_index")).alias("id")
+    rows = _sentences(t).select(at, T.normalize_sentence(F.col("sentence")).alias("norm"))
+    member, _ = near_duplicate_classes(rows, "id", "norm")
+    split = lambda c: (F.floor(F.col(c) / 1_000_000).alias(c.replace("id", "doc_id")), (F.col(c) % 1_000_000).cast("int").alias(c.replace("id", "sentence_index")))
+    return member.select(*split("id"), *split("class_id"), "links")
 
 
 @query()
 def f3_page_breaks(t):
     """Documents after repair of page markers: sentence counts (a marker is put between the first lines)."""
-    d = t.documents.select("doc_id", F.regexp_replace("text", r"^([^\n]{20,60}) ", "$1 — 4 — ").alias("text"))
+    d = t.texts.select("doc_id", F.regexp_replace("text", r"^([^\n]{20,60}) ", "$1 — 4 — ").alias("text"))
     return S.merge_page_fragments(d.withColumn("sentences", S.segment(F.col("text")))).select("doc_id", F.size("sentences").alias("n"))

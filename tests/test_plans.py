@@ -8,8 +8,8 @@ from oracle import DATA
 from corpusloom.plans import QUERIES
 
 #: Queries that join a one-row aggregate or two small key spines.
-ONE_ROW = {"b11_missing_combinations", "c1_label_counts", "c9_overall_metrics", "c18_run_timing", "d4_winsorize_all", "e2_nearest_centroid", "e7_hashed_centroids", "x3_first_seen"}
-PYTHON = {"a3_norm_ids", "f1_near_duplicate_pairs", "f3_page_breaks"}  # page repair and ratios
+ONE_ROW = {"b11_missing_combinations", "c1_label_counts", "c13_token_summary", "i20_fingerprints", "r1_describe", "c9_overall_metrics", "c18_run_timing", "d4_winsorize_all", "e2_nearest_centroid", "e7_hashed_centroids", "x3_first_seen"}
+PYTHON = {"a3_norm_ids", "f3_page_breaks", "i14_docx"}  # page repair, document files
 
 
 def plan(df):
