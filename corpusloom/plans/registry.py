@@ -6,17 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.sources.scratch import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt out to all cores if it comes in fewer partitions (a small file, or one large row group): for work that
-    costs much more CPU than a shuffle. Tables of many files are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores)
-
-
 class Tables:
     """The tables of one folder, read lazily with column pruning."""
 

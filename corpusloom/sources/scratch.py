@@ -62,3 +62,10 @@ class Scratch:
             if names:
                 raise
             # at exit the session may be gone already; the cluster's own clean-up of the folder takes over
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if it comes in fewer partitions (a small file, or one large row group): for work that
+    costs much more CPU than a shuffle. Tables of many files are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
