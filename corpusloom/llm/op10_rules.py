@@ -5,10 +5,13 @@ line of the whole text becomes a feature vector, a two-state linear-chain CRF is
 of words that stand in content lines decides: a document is kept if it passes the base rules and at least half of
 its words are content.
 
-The CRF's weights are fitted by gradient on the conditional likelihood, on the bounded sample of training.py; lacking line
-labels, a line takes its document's quality label (with a transition weight that the chain learns).
+The CRF's weights are fitted by gradient on the conditional likelihood, on the bounded sample of training.py. That sample
+labels documents, so the lines' labels are latent: all lines of a good document are content, a bad one has one line of
+boilerplate at least, and which of its lines are content is found by hard expectation and maximisation with a line
+classifier (rounds of fitting it and marking the bad documents' lines by it). So chains hold lines of both states and the
+transition weights learn how often they follow each other.
 
-Cases: null or empty text has no words, fails the base rules and isn't kept; null doc_ids stay null; rows with the
+Cases: very long texts are held whole in one task, with about 25 bytes for each of their own; null or empty text has no words, fails the base rules and isn't kept; null doc_ids stay null; rows with the
 same doc_id get a row each; without labels of both kinds every line is content; an empty table gives no rows; other
 columns are ignored, whatever their names.
 """
@@ -29,12 +32,16 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 CONTENT_SHARE = 0.5
 #: Weight of label 1 in the fit: a clean line lost costs more than a bad one kept.
 KEEP = 0.7
+#: Scale of the shares of marks, which are small even in lines full of them.
+RARE = 8.0
+#: Log-odds from which a line of a bad document counts as content in the fit.
+CONFIDENT = 2.0
 
 LOWER, UPPER, DIGIT, MARK, PIPE, BANG, POINT, SPACE, TAIL, WIDE, OTHER = range(11)
 
 
 def _classes() -> np.ndarray:
-    k = np.full(256, OTHER, np.int64)
+    k = np.full(256, OTHER, np.int8)
     k[ord("a") : ord("z") + 1] = LOWER
     k[ord("A") : ord("Z") + 1] = UPPER
     k[ord("0") : ord("9") + 1] = DIGIT
@@ -63,15 +70,17 @@ class Lines:
         words = Words(raw)
         self.words, n = words, len(texts)
         data = words.data
-        is_end = data == 0x0A
-        line_end = np.flatnonzero(is_end)  # each text ends with a newline of its own
-        line_of = np.cumsum(is_end) - is_end
+        line_end = np.flatnonzero(data == 0x0A)  # each text ends with a newline of its own
         lines = len(line_end)
-        table = np.bincount(line_of * N_CLASS + _CLASS[data], minlength=lines * N_CLASS).reshape(lines, N_CLASS)
+        table = np.zeros((lines, N_CLASS), np.int64)
+        if lines:
+            start, kinds = np.concatenate(([0], line_end[:-1] + 1)), _CLASS[data]
+            for k in range(N_CLASS):  # a class at a time: no array of eight bytes for each byte of text
+                table[:, k] = np.add.reduceat((kinds == k).view(np.int8), start, dtype=np.int64)
         self.first = np.searchsorted(line_end, words.base)[:-1]
         self.count = np.diff(np.append(self.first, lines))
         self.doc = np.repeat(np.arange(n), self.count)
-        line_word = line_of[words.start] if len(words.start) else np.empty(0, np.int64)
+        line_word = np.searchsorted(line_end, words.start)
         self.line_words = np.bincount(line_word, minlength=lines)
         per_doc = np.add.reduceat(table, self.first) if n else table
         self.n_words = np.diff(words.bounds)
@@ -87,7 +96,7 @@ class Lines:
             last[line_word] = _CLASS[data[end]]  # the last word of each line is written last
         share = lambda *k: table[:, list(k)].sum(1) / visible
         long = np.log1p(self.line_words)
-        self.features = np.column_stack((np.ones(lines), share(UPPER), share(MARK), share(PIPE), share(DIGIT), share(BANG), share(POINT), np.minimum(visible / np.maximum(self.line_words, 1), 30) / 10, long / 4, (last == POINT) | (last == BANG), self.repeated, self.line_words == 0)).astype(np.float64)
+        self.features = np.column_stack((np.ones(lines), share(UPPER), RARE * share(MARK), RARE * share(PIPE), share(DIGIT), RARE * share(BANG), share(POINT), np.minimum(visible / np.maximum(self.line_words, 1), 30) / 10, long / 4, (last == POINT) | (last == BANG), self.repeated, self.line_words == 0)).astype(np.float64)
 
     def _repeated_lines(self, texts: list[str]) -> np.ndarray:
         """Whether a line equals an earlier one of its text."""
@@ -190,6 +199,27 @@ class _Chains:
         self.doc = np.repeat(np.arange(len(texts)), self.count)
 
 
+def line_labels(z: _Chains, label: np.ndarray, weight: np.ndarray, rounds: int = 3, steps: int = 80, rate: float = 0.2) -> np.ndarray:
+    """1 (content) or 0 of each line: 1 throughout the documents of label 1, a mixture with at least one 0 in the others."""
+    y = label[z.doc].copy()
+    bad = label[z.doc] == 0
+    own = weight[z.doc]
+    spread = z.features.std(0) + 1e-6
+    x = (z.features - z.features.mean(0)) / spread
+    x[:, 0] = 1.0
+    w = {"line": np.zeros(x.shape[1])}
+    for _ in range(rounds):
+        adam = Adam(w, rate)
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(x @ w["line"], -30, 30)))
+            adam.step({"line": x.T @ ((p - y) * own) / own.sum() + 1e-3 * w["line"]})
+        odds = x @ w["line"]
+        y = np.where(bad, (odds > CONFIDENT).astype(y.dtype), 1)
+        worst = np.minimum.reduceat(odds, z.first)[z.doc]
+        y[bad & (odds == worst)] = 0
+    return y
+
+
 def fit(rows: list[tuple[str, int]], rounds: int = 60, rate: float = 0.1) -> dict:
     """CRF weights from (text, label) rows; the constant model (all content) without both labels."""
     model = {"emit": np.zeros((N_FEATURES, 2)), "start": np.zeros(2), "move": np.zeros((2, 2))}
@@ -199,9 +229,10 @@ def fit(rows: list[tuple[str, int]], rounds: int = 60, rate: float = 0.1) -> dic
     z = _Chains([t for t, _ in rows])
     label = np.array([q for _, q in rows])
     weight = np.where(label == 1, KEEP * len(label) / (label == 1).sum(), (1 - KEEP) * len(label) / (label == 0).sum()) / np.sqrt(z.count)
+    y = line_labels(z, label, weight)
     adam = Adam(model, rate)
     for _ in range(rounds):
-        adam.step(_likelihood_grads(z, label[z.doc], model, weight))
+        adam.step(_likelihood_grads(z, y, model, weight))
     return model
 
 

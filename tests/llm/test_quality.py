@@ -37,6 +37,30 @@ def test_network_gradients_match_differences():
         assert abs((up - down) / (2 * step) - g[k][at]) < 2e-4, k
 
 
+def plain_score(w, text):
+    """The network by loops: every filter at every fourth byte, chunks of 64 positions that overlap by half."""
+    padded = text + bytes(max(2 * Q.STEP, -(-(len(text) + Q.STEP) // Q.STEP) * Q.STEP) - len(text))
+    kernel = np.concatenate((w["near"], w["far"])).reshape(2 * Q.STEP, Q.EMBED, Q.FILTERS)
+    values = []
+    for at in range(0, len(padded) - 2 * Q.STEP + 1, Q.STEP):
+        window = [w["embed"][b].astype(float) for b in padded[at : at + 2 * Q.STEP]]
+        values.append([max(0.0, sum(float(window[j] @ kernel[j, :, f]) for j in range(2 * Q.STEP)) + float(w["lift"][f])) for f in range(Q.FILTERS)])
+    starts = range(0, max(1, len(values) - Q.HALF), Q.HALF)
+    pooled = np.array([np.max(values[s : s + 2 * Q.HALF], axis=0) for s in starts])
+    logit = np.concatenate((pooled.max(0), pooled.mean(0))) @ w["out"] + float(w["bias"][0])
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_scores_are_those_of_a_plain_convolution():
+    r = np.random.default_rng(3)
+    w = {k: v + r.normal(0, 0.1, v.shape).astype(np.float32) for k, v in Q.initial().items()}
+    texts = [b"", b"a", b"abcd", b"abcde", bytes(r.integers(0, 256, 126).tolist()), *(bytes(r.integers(32, 127, n).tolist()) for n in (127, 128, 129, 131, 132, 133, 255, 256, 257, 260, 261, 383, 384, 385, 700, 1111))]
+    want = [plain_score(w, t) for t in texts]
+    assert np.allclose(Q.score(w, texts), want, atol=1e-5)
+    assert np.allclose(Q.score(w, texts, block=2), want, atol=1e-5)
+    assert np.allclose([Q.score_long(w, t, 1) for t in texts[3:]], want[3:], atol=1e-5)
+
+
 def test_scores_do_not_depend_on_the_batch():
     w = Q.initial()
     texts = [(PROSE * k).encode() for k in range(6)]
@@ -124,6 +148,28 @@ def test_viterbi_is_the_best_path():
         assert tuple(path[z.first[d] : z.first[d] + z.count[d]]) == best
 
 
+def test_lines_of_both_states_in_a_text():
+    """Chains with boilerplate inside good text: the decoded path is the best of all, and the share of words decides."""
+    import itertools
+
+    rows = [(t, int(i < 200)) for i, t in labelled_documents()]
+    good, bad = [t for t, q in rows if q], [t for t, q in rows if not q]
+    mixed = [(good[k] + "\n" + "\n".join(bad[(k + j) % len(bad)] for j in range(2)), 0) for k in range(20)]
+    model = R.fit([(a + "\n" + b, 1) for a, b in zip(good, good[1:], strict=False)] + mixed + [(b, 0) for b in bad])
+    cases = [[good[0], good[1], bad[2], good[3], good[4]], [bad[0], bad[1], good[2]], [good[5], bad[5], bad[6], bad[7]], [good[8]], [bad[9], bad[10]]]
+    for lines in cases:
+        text = "\n".join(lines)
+        z = R.Lines([text])
+        unary = z.features @ model["emit"]
+        value = lambda p: model["start"][p[0]] + sum(unary[i, x] for i, x in enumerate(p)) + sum(model["move"][a, b] for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
+        best = max(itertools.product((0, 1), repeat=len(lines)), key=value)
+        assert R.viterbi(z, model).tolist() == list(best) == [int(x in good) for x in lines]
+        words = [len(x.split()) for x in lines]
+        share = sum(w for w, s in zip(words, best, strict=True) if s) / sum(words)
+        out = R.verdicts([text], model)
+        assert out["content_share"][0] == pytest.approx(share) and out["kept"][0] == (not out["base_failed"][0] and share >= 0.5)
+
+
 def test_crf_gradient_matches_enumeration():
     z, model = _tiny()
     y, weight = np.array([0, 1, 1, 0, 1, 0, 0, 1, 1]), np.ones(4)
