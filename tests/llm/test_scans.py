@@ -68,7 +68,7 @@ def test_op1_on_messy_rows(spark):
 def test_op1_method_finds_random_strings_and_leaves_prose(spark):
     r = random.Random(5)
     alphabet = S.ENCODINGS["base64"]
-    planted = {i: "".join(r.choice(alphabet) for _ in range(44)) for i in range(5)}
+    planted = {i: "".join(r.choice(alphabet) for _ in range(88)) for i in range(5)}
     words = (PROSE + " " + OTHER).split()
     rows = [(i, " ".join(r.choice(words) for _ in range(80)) + (f" value {planted[i]} end" if i in planted else " internationalisation-and-localisation")) for i in range(120)]
     got = {x.doc_id: x for x in S.find_secrets(spark, documents(spark, rows)).collect()}
@@ -85,8 +85,43 @@ def test_battery_accepts_random_and_rejects_patterns():
     assert S.battery("a0" * 30, "hex")[3] < 1e-3
 
 
-def test_e_bh_thresholds():
-    # 3 tests, alpha 0.01: the largest needs e >= 300, the two largest e >= 150 each
+def test_battery_of_rows_is_that_of_one():
+    r = random.Random(12)
+    for enc, alphabet in S.ENCODINGS.items():
+        for n in (3, 20, 33):
+            rows = ["".join(r.choice(alphabet) for _ in range(n)) for _ in range(20)] + [alphabet[0] * n, (alphabet[0] + alphabet[-1]) * (n // 2) + alphabet[0] * (n % 2)]
+            x = np.array([[alphabet.index(c) for c in s] for s in rows])
+            assert np.allclose(S.battery_rows(x, len(alphabet)), [S.battery(s, enc)[3] for s in rows], rtol=1e-6, atol=1e-12)
+
+
+def invented_words(r, n):
+    parts = "an the re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
+    return ["".join(r.choice(parts) for _ in range(r.randrange(1, 6))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("length,found_at_least", [(22, 0), (40, 0.3), (80, 0.9), (160, 1), (300, 1)])
+def test_realised_false_discovery_rate(spark, length, found_at_least):
+    """Random strings and glued words of one length stratum, in one case or all: few of the spans found are words."""
+    r = random.Random(length)
+    words = invented_words(r, 4000)
+    rows, secret, prose = [], {}, {}
+    for i in range(400):
+        body = [w.capitalize() if r.random() < 0.1 else w for w in r.sample(words, 120)]
+        enc = r.choice(("base62", "base64", "lower", "upper", "base36"))
+        if i % 2:
+            run = secret[i] = "".join(r.choice(S.ENCODINGS[enc]) for _ in range(length))
+        else:
+            glued = "".join(w.capitalize() if enc in ("base62", "base64") else w for w in r.sample(words, 200))
+            run = prose[i] = (glued.upper() if enc == "upper" else glued)[:length]
+        rows.append((i, " ".join(body[:60]) + f" {run} " + " ".join(body[60:])))
+    got = {x.doc_id: [rows[x.doc_id][1][f.start : f.end] for f in x.found if f.kind == "random"] for x in S.find_secrets(spark, documents(spark, rows)).collect()}
+    true = sum(secret[i] in got[i] for i in secret)
+    false = sum(len(v) for v in got.values()) - true
+    assert false <= max(2, 0.03 * (true + false)) and true >= found_at_least * len(secret)
+
+
+def test_thresholds():
+    # 3 tests, alpha 0.01: the largest needs p <= 1/300, the two largest 1/150 each
     assert S.thresholds({(5, 9): 1, (5, 7): 1, (5, 0): 1}, {5: 3}) == {5: 9}
     assert S.thresholds({(5, 9): 1, (5, 8): 1}, {5: 3}) == {5: 8}
     assert S.thresholds({(5, 3): 1}, {5: 3}) == {}
@@ -111,29 +146,44 @@ def test_op9_on_messy_rows(spark):
 
 def disclosed_documents():
     r = random.Random(7)
-    words = (PROSE + " " + OTHER + " wrote from about").replace(".", "").replace(",", "").split()
+    words = (PROSE + " " + OTHER + " wrote from about quite").replace(".", "").replace(",", "").split()
     fill = lambda n: " ".join(r.choice(words) for _ in range(n))
-    rows = [(500 + i, f"{fill(20)} Quentin wrote from q.doe@example.org about {fill(20)}") for i in range(6)]
+    rows = [(500 + i, f"{fill(20)} quentin wrote from q.doe@example.org about {fill(20)} and then {fill(9)} quentin left") for i in range(6)]
+    rows += [(510, f"{fill(30)} in the end Xanthippe called +1 (555) 010-7788 about {fill(30)} and of course Xanthippe won"), (511, f"{fill(30)} uncommonly called +1 (555) 010-9999 about {fill(30)}"), (512, f"{fill(40)} acct77 has 10.20.30.40 for {fill(20)} quentin")]
     return rows + [(600 + i, fill(60)) for i in range(200)]
 
 
 def test_op9_terms_against_brute_force(spark):
     rows = disclosed_documents()
     got = {x.doc_id: x for x in P.find_personal_data(spark, documents(spark, rows)).collect()}
-    holds, near, texts = Counter(), Counter(), {}
+    holds, initials, near, texts, named = Counter(), Counter(), Counter(), {}, set()
     for _, t in rows:
-        for w in {P._term(x) for x in t.split()} - {None}:
-            holds[P._hash(w)] += 1
-        for e, w in {(e, w) for e, w, _, _ in P.contexts(t, P.base_spans(t))}:
+        terms = {P._term(x) for x in t.split()} - {None}
+        holds.update(P._hash(w) for w in terms)
+        initials.update({w[0] for w in terms})
+        found = P.contexts(t, P.base_spans(t))
+        named |= {(e, w) for e, w, n in found if n}
+        for e, w in {(e, w) for e, w, _ in found}:
             near[e, w] += 1
             texts.setdefault((e, w), set()).add(t)
-    n_entity = Counter(e for _, t in rows for e in {c[0] for c in P.contexts(t, P.base_spans(t))})
-    share = lambda e, w: 1 + math.log(min(1, near[e, w] / holds[w])) / math.log(len(rows) / n_entity[e])
+    entities = {i: {P.entity(t, s) for s in P.base_spans(t)} for i, t in rows}
+    n_entity = Counter(e for i in entities for e in entities[i])
+    content = lambda e: math.log(len(rows) / n_entity[e])
+    share = lambda e, w: 1 + math.log(min(1, near[e, w] / holds[w])) / content(e)
+    pairs = {(e, w) for e, w in near if (len(texts[e, w]) >= P.SUPPORT or (e, w) in named) and share(e, w) >= P.DISCLOSURE}
     for i, t in rows:
-        want = {(a, b) for e, w, a, b in P.contexts(t, P.base_spans(t)) if len(texts[e, w]) >= P.SUPPORT and share(e, w) >= P.DISCLOSURE}
-        assert {(f.start, f.end) for f in got[i].found if f.kind == "term"} == want
-    assert all("Quentin" in t[f.start : f.end] for i, t in rows for f in got[i].found if f.kind == "term")
-    assert got[500].n_term == 1 and got[600].n_term == 0
+        hit = {}
+        for m in P.WORD.finditer(t):
+            term = P._term(m[0])
+            who = [e for e in entities[i] if term and (e, P._hash(term)) in pairs]
+            inside = any(a < m.end() and m.start() < b for _, a, b in P.base_spans(t))
+            if who and not inside:
+                general = all(1 + math.log(min(1, n_entity[e] / initials[term[0]])) / content(e) < P.DISCLOSURE for e in who)
+                hit[m.span()] = general
+        assert {(f.start, f.end) for f in got[i].found if f.kind == "term"} == set(hit)
+    words = lambda i: [t[f.start : f.end] for j, t in rows if j == i for f in got[i].found if f.kind == "term"]
+    assert all(words(i) == ["quentin", "quentin"] for i in range(500, 506))  # the second is far from the address
+    assert words(510) == ["Xanthippe", "Xanthippe"] and words(511) == [] and words(512) == ["acct77"] and got[600].n_term == 0
 
 
 def test_sanitise_keeps_rows_and_columns(spark):
@@ -144,14 +194,18 @@ def test_sanitise_keeps_rows_and_columns(spark):
     assert len(rows) == len(MESSY) + len(disclosed_documents())
     by = {r.doc_id: r.text for r in rows if r.doc_id not in (None, 14)}
     text = by[500]
-    assert "q.doe@example.org" not in text and "Quentin" not in text and "<EMAIL>" in text and "<NAME>" in text
+    assert "q.doe@example.org" not in text and "quentin" not in text and "<EMAIL>" in text and ("Q." in text or "<TERM>" in text)
+    assert "Xanthippe" not in by[510] and "acct77" not in by[512] and "quentin" in by[512]
     clean = {i: t for i, t in MESSY if i in (4, 5, 6, 7, 11, 12, 13)}
     assert {i: by[i] for i in clean} == clean
     assert not any(P.base_spans(r.text or "") for r in rows)
 
 
-def test_clean_text_with_overlapping_spans():
-    assert P.clean_text("ab1.2.3.4@x.yz Ann", [(0, 0, 14), (1, 2, 9), (4, 15, 18)]) == "<EMAIL> <NAME>"
+def test_clean_text_generalises_or_removes():
+    found = [(0, 0, 14), (1, 2, 9), (P.GENERAL, 15, 19), (P.REMOVED, 21, 27)]
+    assert P.clean_text("ab1.2.3.4@x.yz Anna, Zyxxyz", found) == "<EMAIL> A., <TERM>"
+    least = {P._hash("anna"): 3.0, P._hash("zyxx9"): 3.0}
+    assert P.marks("Anna saw zyxx9 and ANNA.", [], least, {"a": 40, "z": 2}) == [(P.GENERAL, 0, 4), (P.REMOVED, 9, 14), (P.GENERAL, 19, 24)]
 
 
 @pytest.mark.parametrize("run", [S.find_secrets, P.find_personal_data, P.sanitise])
@@ -172,5 +226,4 @@ def test_long_texts_take_linear_time():
     text = " ".join("ab" * 8 + f"{i:06}" for i in range(20_000)) + " " + run
     found = S.candidates(text, S.base_spans(text))
     assert [x[3] for x in found] == [run]
-    assert S.log_evidence(run, "base64", S.pair_counts(np.frombuffer(many.encode(), np.uint8)).reshape(128, 128)) != 0
     assert time.time() - began < 30
