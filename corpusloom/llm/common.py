@@ -1,80 +1,28 @@
 """Shared plumbing of the training-data operators: shared scratch tables, batches, exact word hashing.
 
-Intermediate tables are written below ``spark.checkpoint.dir`` (which all executors share), never to a
-machine-local folder, so a lost executor costs a re-run of tasks and nothing else.
+Intermediate tables are written below ``spark.checkpoint.dir`` (see corpusloom.sources.scratch).
 """
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.sources.scratch import Scratch, shared_root, spread
+
 #: Bytes of text that a Python kernel holds expanded at a time, and bytes of words hashed at a time.
 SLICE_BYTES = 4 << 20
 HASH_BLOCK = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode with the setting unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root if urlparse(root).scheme else f"file://{os.path.abspath(root)}"
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"file://{os.path.join(tempfile.gettempdir(), 'corpusloom-' + spark.sparkContext.applicationId)}"
-
-
-class Scratch:
-    """A folder of intermediate tables and files of one operator run; dropped tables free their disk at once."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.base = f"{shared_root(spark).rstrip('/')}/corpusloom/{label}-{uuid.uuid4().hex}"
-        self.written: list[str] = []
-        atexit.register(self.drop)
-
-    def path(self, name: str) -> str:
-        return f"{self.base}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Cut the lineage: write ``df`` as Parquet and read it back."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        self.written.append(name)
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def keep_only(self, *prefixes: str) -> None:
-        """Delete the tables written so far whose names don't start with one of the prefixes."""
-        gone = [n for n in self.written if not n.startswith(prefixes)]
-        if gone:
-            self.drop(*gone)
-
-    def drop(self, *names: str) -> None:
-        """Delete some tables, or the whole folder."""
-        self.written = [n for n in self.written if n not in names]
-        try:
-            jvm = self.spark.sparkContext._jvm
-            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-            for p in [self.path(n) for n in names] or [self.base]:
-                at = jvm.org.apache.hadoop.fs.Path(p)
-                at.getFileSystem(conf).delete(at, True)
-        except Exception:
-            if names:
-                raise
-            # at exit the session may be gone already; the cluster's own clean-up of the folder takes over
+    """One of the driver's tables; documents that come as one small file are dealt out to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -155,6 +103,9 @@ class Words:
             at = end
 
 
+__all__ = ["Covered", "Scratch", "Words", "arrow", "field", "mix64", "shared_root", "slices", "table"]
+
+
 def arrow(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch with the columns in the schema's order."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)

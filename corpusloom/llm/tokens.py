@@ -3,7 +3,8 @@
 The vocabulary and merge ranks come from the tokenizers JSON file whose path is a parameter. The merge loop
 that runs is tiktoken's, built from that same file: it gives the ids that the tokenizers library gives (tests
 compare the two) at about eight times its speed. A text that its splitter refuses (very long runs of one kind
-of character) goes to the tokenizers library itself.
+of character) goes to the tokenizers library itself, as do all texts where the file asks for anything else than the
+plain byte-level splitter and merges that the loop stands for.
 """
 
 from __future__ import annotations
@@ -27,6 +28,15 @@ def _byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
 
 
+def is_plain(spec: dict) -> bool:
+    """Whether a file asks for byte-level splitting, no normaliser and plain merges: what the fast loop does."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = not spec.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    odd = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    strips = any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
+    return bool(plain and model.get("type") == "BPE" and not odd and not strips)
+
+
 class Vocabulary:
     """Encoder and decoder of one vocabulary file."""
 
@@ -37,6 +47,7 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.path = path
+        self.plain = is_plain(spec)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         to_byte = _byte_of_symbol()
         ranks = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
@@ -47,12 +58,15 @@ class Vocabulary:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text (uint32), special tokens in it included, none added."""
+        if not self.plain:
+            return self.encode_slowly(text)
         try:
             if any(s in text for s in self.special):
                 return np.array(self._bpe.encode(text, allowed_special="all"), np.uint32)
             return self._bpe.encode_to_numpy(text, disallowed_special=())
-        except BaseException as e:  # the splitter's panics aren't Exceptions
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+        except BaseException as e:
+            # the splitter refuses some texts by a panic, which isn't an Exception, or by a ValueError; all else is a fault
+            if type(e).__name__ != "PanicException" and not isinstance(e, ValueError):
                 raise
             return self.encode_slowly(text)
 

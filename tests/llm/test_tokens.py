@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from corpusloom.llm.op2_chunks import ChunkEncoder, encode_decode
 from corpusloom.llm.op5_packing import curve_keys, hilbert_index, pack, ranges, sequence_bounds
 from corpusloom.llm.op8_binary import op8_binary_tokens
-from corpusloom.llm.tokens import default_vocabulary, vocabulary
+from corpusloom.llm.tokens import default_vocabulary, is_plain, vocabulary
 
 TOK = Tokenizer.from_file(default_vocabulary())
 
@@ -32,6 +32,19 @@ def test_encoder_equals_the_library(text):
     assert enc.encode_slowly(text).tolist() == ids_of(text).tolist()
 
 
+def test_other_splitters_go_to_the_library(tmp_path):
+    import json
+
+    spec = json.loads(open(default_vocabulary(), encoding="utf-8").read())
+    assert is_plain(spec)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    text = "Some words, 12 and more"
+    assert not is_plain(spec) and vocabulary(str(path)).encode(text).tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+    assert vocabulary(str(path)).encode(text).tolist() != ids_of(text).tolist()
+
+
 @given(st.lists(st.text(alphabet="ab \n'st.,é <|endoftext|>12", max_size=200), min_size=1, max_size=4), st.integers(1, 50))
 @settings(max_examples=200, deadline=None)
 def test_chunks_are_exact_at_any_cut(parts, repeat):
@@ -64,6 +77,19 @@ def test_op2_real_outputs(spark):
     assert all(r.decoded == TOK.decode(r.ids, skip_special_tokens=False) for r in rows)
 
 
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001"])
+def test_whole_table_equals_the_library(spark, folder):
+    """All documents of a table: ids and their places by the library itself."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    at, want = 0, set()
+    for i in sorted(texts):
+        ids = ids_of(texts[i], 2)
+        want.add((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert {(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in op8_binary_tokens(spark, docs).collect()} == want
+
+
 def test_op8_on_messy_rows(spark):
     rows = op8_binary_tokens(spark, documents(spark)).orderBy("start").collect()
     assert [r.doc_id for r in rows] == sorted((i for i, _ in MESSY), key=lambda x: -1 if x is None else x)
