@@ -1,6 +1,7 @@
 """Operator 3 against all pairs, with hot groups, chains and messy rows."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch
 from corpusloom.llm.components import components
-from corpusloom.llm.op3_neardup import keep_one_of_each, linked_groups, near_duplicates, shingle_sets, survivors
+from corpusloom.llm.op3_neardup import agree, keep_one_of_each, linked_groups, near_duplicates, shingle_sets, survivors
 
 
 def shingles(text, width=2):
@@ -103,9 +104,28 @@ def test_keep_one_of_each(spark):
     docs = documents(spark)
     kept = keep_one_of_each(spark, docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({c for i, c in brute(MESSY).items() if i == c})
-    assert ids.count(None) == 2
+    got = Counter((r.doc_id, r.text) for r in kept.select("doc_id", "text").collect())
+    first = {i for i, c in brute(MESSY).items() if i == c}
+    # of a kept doc_id all texts stay, equal rows once; rows without one all stay
+    assert got == Counter({(i, t) for i, t in MESSY if i in first}) + Counter((i, t) for i, t in MESSY if i is None)
+
+
+def test_large_families_against_all_pairs(spark):
+    """Families of hundreds of different near copies: dense ones, ones on both sides of the threshold, chains, and a passage
+    that unlinked texts share."""
+    r = random.Random(21)
+    texts = near_copies(700, 31, 120, 5)
+    texts += near_copies(500, 32, 120, 14)  # about half of their pairs fall short of 0.8
+    chain = near_copies(1, 33, 150)[0].split()
+    for _ in range(200):
+        chain[r.randrange(150)] = f"c{r.randrange(10**6)}"
+        texts.append(" ".join(chain))
+    shared = near_copies(1, 34, 100)[0]
+    texts += [shared + " " + near_copies(1, 100 + k, 45)[0] for k in range(300)]  # similar by 0.5 only
+    texts += [near_copies(1, 1000 + k, r.randrange(1, 60))[0] for k in range(800)]
+    texts += r.choices(texts, k=500)
+    r.shuffle(texts)
+    check(spark, list(enumerate(texts)))
 
 
 def test_components_of_chains_and_stars(spark):
@@ -125,6 +145,18 @@ def test_kernels():
     assert survivors(sig[:3], sig[3:], np.array([0, 1, 2]), np.array([3, 4, 5])) == [(0, 0)]
 
 
+def test_collisions_are_counted():
+    """A pair needs AGREE equal coordinates and MATCHES equal minima."""
+    a = np.arange(128, dtype=np.uint16)
+    broken = a.copy()
+    broken[::4] += 1000  # 96 minima agree, no coordinate of four does
+    one, two = broken.copy(), broken.copy()
+    one[0], two[[0, 4]] = a[0], a[[0, 4]]
+    far = np.full(128, 9999, np.uint16)
+    far[:40] = a[:40]
+    assert [bool(agree(a, x)) for x in (a, broken, one, two, far)] == [True, False, False, True, False]
+
+
 @pytest.mark.parametrize("inter,union,linked", [(4, 5, True), (79, 100, False), (80, 100, True)])
 def test_threshold_is_exact(inter, union, linked):
     a, b = np.arange(inter + (union - inter) // 2, dtype=np.uint64), np.concatenate((np.arange(inter), np.arange(1000, 1000 + union - inter - (union - inter) // 2))).astype(np.uint64)

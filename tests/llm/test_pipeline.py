@@ -44,13 +44,7 @@ def plain(sample):
     docs = [d for d in docs if R.verdicts([d[1]], crf)["kept"][0]]
     group = brute(docs)
     kept = {i for i, c in group.items() if i == c}
-    firsts = {}
-    for i, t in docs:
-        if i is None:
-            firsts[len(firsts), None] = t
-        elif i in kept:
-            firsts.setdefault(i, t)
-    return [(None if isinstance(i, tuple) else i, t) for i, t in firsts.items()]
+    return list(dict.fromkeys(d for d in docs if d[0] in kept)) + [d for d in docs if d[0] is None]
 
 
 def test_stages(spark, folder):
