@@ -1,11 +1,14 @@
 """Operator 6: exact top-k inner products by the threshold algorithm over sorted per-dimension lists.
 
 Vectors are turned into integers floor(256 x). Each task packs its rows into shards of at most SHARD vectors and its
-queries into blocks of at most BLOCK; every shard meets every block of queries once (an equi-join on a slot number
-over these packed rows, a stated query set against all rows). In a shard each dimension has its list of rows by
+queries into blocks of at most BLOCK. Shards are dealt to groups of about GROUP vectors and blocks to groups of about
+QUERIES queries (their numbers follow two counts), and every group of shards meets every group of blocks in one cell: an
+equi-join on the cell's numbers over packed rows, a stated query set against all rows. A cell's shards arrive first and have
+their lists built once; the blocks stream past them. So a vector is moved once for each QUERIES queries and a query once
+for each GROUP vectors. In a shard each dimension has its list of rows by
 value. A block's queries read the lists together, from the top where a component is positive and from the bottom
 where it is negative; rows seen are scored in full for all queries still reading, and a query stops once its bound
-(the query times the values at the lists' heads) is below its k-th score. Each shard gives a query k rows at most,
+(the query times the values at the lists' heads) is below its k-th score. Each cell gives a query k rows at most,
 and a ranking with a limit before the shuffle merges them.
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part, nor do null vec_ids; vectors
@@ -27,7 +30,9 @@ from pyspark.sql.window import Window
 from corpusloom.llm.common import field
 
 TOP, EVERY, SCALE = 5, 50, 256.0
-SHARD, BLOCK, SLOTS, STEP = 4096, 256, 64, 48
+SHARD, BLOCK, STEP = 4096, 256, 48
+#: Vectors and queries of a cell, about.
+GROUP, QUERIES = 16 * SHARD, 16 * SHARD
 _PACK = "ids binary, rows binary, dims int"
 
 
@@ -122,34 +127,59 @@ def distinct_ids(ids: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np
     return [(ids[order][run == r], rows[order][run == r]) for r in range(int(run.max(initial=0)) + 1)]
 
 
+def best_of_shards(shards: list[Shard], own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vec_id, score) rows: each query's k best over some shards, ties to the smaller vec_id, a vec_id in several shards once."""
+    parts = []
+    for shard in shards:
+        best, _ = shard.top(queries, own, k)
+        who = np.repeat(np.arange(len(own)), [len(b) for b in best])
+        rows = np.concatenate(best) if best else np.empty(0, np.int64)
+        parts.append((who, shard.ids[rows], (queries[who] * shard.rows[rows]).sum(1)))
+    who, ids, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((-score, ids, who))  # of a repeated vec_id the best score counts
+    who, ids, score = who[order], ids[order], score[order]
+    once = np.concatenate(([True], (who[1:] != who[:-1]) | (ids[1:] != ids[:-1]))) if len(who) else np.empty(0, bool)
+    who, ids, score = who[once], ids[once], score[once]
+    order = np.lexsort((ids, -score, who))
+    who, ids, score = who[order], ids[order], score[order]
+    place = np.arange(len(who)) - np.searchsorted(who, who)
+    return own[who[place < k]], ids[place < k], score[place < k]
+
+
 def _search(k: int):
+    """Stream cells: rows sorted by cell, shards (kind 0) before blocks of queries (kind 1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, shards = None, []
+        cell, shards = None, {}
         for batch in batches:
-            for r in batch.to_pylist():
-                dims = r["dims"]
-                if (r["ids"], r["rows"]) != last:
-                    last = (r["ids"], r["rows"])
-                    shards = [Shard(*x) for x in distinct_ids(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["rows"], "<i4").reshape(-1, dims))]
-                own, queries = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_rows"], "<i4").reshape(-1, dims).astype(np.int64)
-                for shard in shards:
-                    best, _ = shard.top(queries, own, k)
-                    who = np.repeat(np.arange(len(own)), [len(b) for b in best])
-                    rows = np.concatenate(best) if best else np.empty(0, np.int64)
-                    score = (queries[who] * shard.rows[rows]).sum(1)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[who]), pa.array(shard.ids[rows]), pa.array(score)], names=["query_id", "vec_id", "score"])
+            for r in range(batch.num_rows):
+                i, j, kind, dims = (batch.column(c)[r].as_py() for c in range(4))
+                ids, rows = np.frombuffer(batch.column(4)[r].as_buffer(), "<i8"), np.frombuffer(batch.column(5)[r].as_buffer(), "<i4").reshape(-1, dims)
+                if (i, j) != cell:
+                    cell, shards = (i, j), {}
+                if kind == 0:
+                    shards.setdefault(dims, []).extend(Shard(*x) for x in distinct_ids(ids, rows))
+                elif shards.get(dims):
+                    found = best_of_shards(shards[dims], ids, rows.astype(np.int64), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, group: int = GROUP, many: int = QUERIES) -> DataFrame:
     """The k best of ``vectors`` for each of ``queries`` (columns vec_id, embedding)."""
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n, m = vectors.count(), queries.count()
+    # as many groups as the rows need; more, down to one shard each, to keep all cores busy on small tables
+    high, wide = max(1, -(-n // group), min(-(-n // SHARD), 2 * cores)), max(1, -(-m // many))
+    every = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
+    cols = ["i", "j", "kind", "dims", "ids", "rows"]
     shards = vectors.selectExpr("cast(vec_id as long) vec_id", "embedding").mapInArrow(_pack(SHARD), _PACK)
-    shards = shards.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(SLOTS)))
+    shards = shards.withColumns({"i": F.pmod(F.xxhash64("ids"), F.lit(high)).cast("int"), "kind": F.lit(0)}).withColumn("j", every(wide)).select(*cols)
     blocks = queries.selectExpr("cast(vec_id as long) vec_id", "embedding").mapInArrow(_pack(BLOCK), _PACK)
-    blocks = blocks.select(F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), "dims", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long"))).alias("slot"))
-    met = shards.join(blocks, ["slot", "dims"]).repartition("ids", "q_ids").select("ids", "rows", "dims", "q_ids", "q_rows")
-    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    blocks = blocks.withColumns({"j": F.pmod(F.xxhash64("ids"), F.lit(wide)).cast("int"), "kind": F.lit(1)}).withColumn("i", every(high)).select(*cols)
+    cells = shards.unionByName(blocks).repartitionById(high * wide, F.col("i") * wide + F.col("j")).sortWithinPartitions("i", "j", "kind")
+    found = cells.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -56,6 +56,15 @@ def test_threshold_algorithm_stops_early():
     assert read < 100
 
 
+def test_op6_over_many_cells(spark):
+    """Several groups of shards and of queries, vectors of two lengths and repeated ids give what one cell gives."""
+    r = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in r.normal(0, 0.3, 8 if i % 7 else 5)]) for i in range(600)] + [(50, [0.1] * 8), (51, [0.9] * 8)]
+    df = vectors(spark, rows).repartition(9)
+    got = K.exact_top_k(df, df.where("vec_id % 50 = 0"), group=100, many=3)
+    assert {tuple(x) for x in got.collect()} == brute(rows)
+
+
 def test_op6_matches_sql(spark):
     assert compare(QUERIES["op6_topk_ta"](spark, DATA), SQL["op6_topk_ta"]) is None
 
