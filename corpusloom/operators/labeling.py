@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from corpusloom.contracts import LABELS
 from corpusloom.functions import text as T
 from corpusloom.operators.neardup import near_duplicate_pairs, resolve
-from corpusloom.operators.windows import first_of_cells
 
 
 def suggest_labels(sentences: DataFrame, classified: DataFrame) -> DataFrame:
@@ -61,12 +61,13 @@ def dedupe_near(rows: DataFrame, id_col: str = "sample_id", threshold: float = 0
     return rows.join(drop, id_col, "left_anti"), spark.createDataFrame(out, f"sample_id_a {kind}, sample_id_b {kind}, label_a string, label_b string, similarity double, reason string")
 
 
-def irr_subset(rows: list[dict], fraction: float = 0.1, min_per_class: int = 5, seed: int = 13, totals: dict[tuple, int] | None = None) -> list[dict]:
+def irr_subset(rows: list[dict], fraction: float = 0.1, min_per_class: int = 5, seed: int = 13, totals: dict[tuple, int] | None = None, short: set | None = None) -> list[dict]:
     """Subset to be rated twice: a minimum of each class spread over strata, then a fill by class deficit.
 
     ``rows``: sample_id, label, stratum. Each pick changes the next one's order, but rows of one class and stratum differ by
     their draws alone, so a pick compares the first rows of these cells. Ties break by a seeded draw (a row's
-    ``draw`` where given), then sample_id. ``totals``: rows per (label, stratum), where ``rows`` holds only the first of each.
+    ``draw`` where given), then sample_id. ``totals``: rows per (label, stratum), where ``rows`` holds only the first of each;
+    the first cell that would need more than those is put into ``short``, and the picks end there.
     """
     rows = sorted((r for r in rows if r["label"] in LABELS), key=lambda r: r["sample_id"])
     size: dict[tuple, int] = {k: n for k, n in (totals or {}).items() if k[0] in LABELS}
@@ -104,15 +105,30 @@ def irr_subset(rows: list[dict], fraction: float = 0.1, min_per_class: int = 5,
     for q in cells.values():
         q.sort(key=lambda x: x[:2], reverse=True)  # the next one is last
 
-    def rank(c: tuple) -> tuple:
-        need = max(0, want[c[0]] - per_label[c[0]])
-        return (need == 0, -need, per_stratum[c[1]], strata[c[1]], *cells[c][-1][:2])
-
-    while len(picked) < target and cells:
-        c = min(cells, key=rank)
+    held: dict[tuple, int] = {}
+    for r in rows:
+        held[r["label"], r["stratum"]] = held.get((r["label"], r["stratum"]), 0) + 1
+    rank = lambda c: (per_stratum[c[1]], strata[c[1]], *cells[c][-1][:2])  # noqa: E731  only grows, so what a heap holds is a lower bound
+    heaps = {x: [(rank(c), i, c) for i, c in enumerate(cells) if c[0] == x] for x in LABELS}
+    for h in heaps.values():
+        heapq.heapify(h)
+    while len(picked) < target:
+        best = None
+        for x, h in heaps.items():
+            while h and (now := rank(h[0][2])) > h[0][0]:
+                heapq.heapreplace(h, (now, *h[0][1:]))
+            need = max(0, want[x] - per_label[x])
+            if h and (best is None or (need == 0, -need, *h[0][0]) < best[0]):
+                best = ((need == 0, -need, *h[0][0]), x)
+        if best is None:
+            break
+        _, i, c = heapq.heappop(heaps[best[1]])
         take(cells[c].pop()[2])
-        if not cells[c]:
-            del cells[c]
+        if cells[c]:
+            heapq.heappush(heaps[c[0]], (rank(c), i, c))
+        elif short is not None and held[c] < size[c]:
+            short.add(c)
+            break
     return sorted(({k: v for k, v in r.items() if k != "draw"} for r in picked), key=lambda r: r["sample_id"])
 
 
@@ -123,16 +139,42 @@ def irr_target(per_class: dict[str, int], fraction: float, min_per_class: int) -
 
 
 def irr_sample(rows: DataFrame, fraction: float = 0.1, min_per_class: int = 5, seed: int = 13) -> DataFrame:
-    """:func:`irr_subset` of a table of any size (sample_id, label, stratum): the driver sees the cells' counts and as many
-    first rows of each cell as are picked at most, which gives the subset that all rows would."""
+    """:func:`irr_subset` of a table of any size (sample_id, label, stratum).
+
+    The driver sees the cells' counts and the first rows of each cell, some twice its even share of the picks: those whose draw, a
+    64-bit hash, is below a bound, so nothing is sorted. Where a cell runs out in the loop, its bound is doubled and the loop starts
+    again. So it sees all that the loop can reach, in proportion to the picks and not to cells times picks. Rows of a cell are
+    picked in order, so the last pick of each names them all.
+    """
     ok = rows.where(F.col("label").isin(*LABELS))
-    per_class = {r["label"]: r["count"] for r in ok.groupBy("label").count().collect()}
-    if not per_class:
+    counts = {(r["label"], r["stratum"]): r["count"] for r in ok.groupBy("label", "stratum").count().collect()}
+    if not counts:
         return ok
-    counts, first = first_of_cells(ok, ["label", "stratum"], "sample_id", irr_target(per_class, fraction, min_per_class), seed)
-    picked = irr_subset([r.asDict() for r in first], fraction, min_per_class, seed, {(r["label"], r["stratum"]): r["count"] for r in counts})
-    ids = rows.sparkSession.createDataFrame([(r["sample_id"],) for r in picked], f"sample_id {dict(rows.dtypes)['sample_id']}")
-    return ok.join(F.broadcast(ids), "sample_id")
+    per_class: dict[str, int] = {}
+    for (x, _), n in counts.items():
+        per_class[x] = per_class.get(x, 0) + n
+    target = irr_target(per_class, fraction, min_per_class)
+    drawn = ok.withColumn("draw", F.xxhash64(F.col("sample_id").cast("string"), F.lit(seed)))
+    spark, kind = rows.sparkSession, dict(rows.dtypes)
+    same = lambda a, b: (a["label"] == b["_label"]) & a["stratum"].eqNullSafe(b["_stratum"])
+    need = dict.fromkeys(counts, 2 * -(-target // len(counts)) + 2 * min_per_class + 20)
+    wanted, known = list(counts), {}
+    while wanted:
+        below = {c: -(2**63) + (1 << 64) * min(need[c], counts[c]) // counts[c] - 1 for c in wanted}
+        some = F.broadcast(spark.createDataFrame([(*c, x) for c, x in below.items()], f"_label string, _stratum {kind['stratum']}, _below long"))
+        known |= {c: [] for c in wanted}
+        for r in drawn.join(some, same(drawn, some) & (F.col("draw") <= F.col("_below")), "left_semi").select("sample_id", "label", "stratum", "draw").collect():
+            known[r["label"], r["stratum"]].append(r.asDict())
+        short = {c for c in wanted if len(known[c]) <= min_per_class and len(known[c]) < counts[c]}
+        if not short:
+            picked = irr_subset([r for c in known.values() for r in c], fraction, min_per_class, seed, counts, short)
+        need |= {c: 2 * need[c] for c in short}
+        wanted = list(short)
+    ids = {r["sample_id"] for r in picked}
+    last = [(*c, *max((r["draw"], r["sample_id"]) for r in own if r["sample_id"] in ids)) for c, own in known.items() if any(r["sample_id"] in ids for r in own)]
+    ends = F.broadcast(spark.createDataFrame(last, f"_label string, _stratum {kind['stratum']}, _draw long, _id {kind['sample_id']}"))
+    reached = F.struct("draw", "sample_id") <= F.struct(F.col("_draw").alias("draw"), F.col("_id").alias("sample_id"))
+    return drawn.join(ends, same(drawn, ends) & reached, "left_semi").drop("draw")
 
 
 #: Columns that a second rater sees.

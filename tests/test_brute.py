@@ -136,6 +136,18 @@ def test_q5_sees_what_all_rows_would_show(spark):
     assert {r.sample_id for r in QUERIES["q5_irr_sample"](spark, DATA).collect()} == {r["sample_id"] for r in L.irr_subset(rows, 0.01, 20)}
 
 
+def test_irr_sample_of_many_picks_and_cells(spark):
+    """40 cells of very unequal size and 30,000 picks: more than a million rows if each cell gave as many as are picked."""
+    k = F.col("id")
+    label = F.when(k % 50 == 0, "Irrelevant").when(k % 3 == 0, "Actionable").otherwise("Speculative")
+    stratum = F.when(k % 7 < 4, F.lit("s0")).otherwise(F.concat(F.lit("s"), (k % 20).cast("string")))
+    df = spark.range(60_000).select(k.alias("sample_id"), label.alias("label"), stratum.alias("stratum"))
+    rows = [r.asDict() for r in df.withColumn("draw", F.xxhash64(F.col("sample_id").cast("string"), F.lit(13))).collect()]
+    want = {r["sample_id"] for r in L.irr_subset(rows, 0.5, 20)}
+    got = [r.sample_id for r in L.irr_sample(df, 0.5, 20).collect()]
+    assert set(got) == want and len(got) == len(want) == 30_000
+
+
 def test_many_paths_cost_nothing(spark):
     edges = [e for k in range(40) for e in ((f"n{k:02d}", f"a{k:02d}"), (f"n{k:02d}", f"b{k:02d}"), (f"a{k:02d}", f"n{k + 1:02d}"), (f"b{k:02d}", f"n{k + 1:02d}"))]
     nodes = sorted({x for e in edges for x in e})
