@@ -134,7 +134,7 @@ def a12_extraction_status(t):
  c AS (SELECT doc_id, sentence_index, len(list_filter(k, lambda x: x = 'of')) AS concrete, len(list_filter(k, lambda x: x = 'is')) AS vague FROM w)
  SELECT doc_id, sentence_index, concrete, vague, round(CASE WHEN concrete + vague = 0 THEN 0 ELSE concrete / (concrete + vague) END, 6) AS score FROM c WHERE concrete + vague > 0""")
 def a13_concreteness(t):
-    s = _sentences(t).withColumn("x", S.concreteness(F.col("sentence"), ["of"], ["is"]))
+    s = _sentences(t).select("doc_id", "sentence_index", F.explode(F.array(S.concreteness(F.col("sentence"), ["of"], ["is"]))).alias("x"))  # filters aren't pushed below explode
     return s.where("x.concrete + x.vague > 0").select("doc_id", "sentence_index", F.col("x.concrete").cast("long").alias("concrete"), F.col("x.vague").cast("long").alias("vague"), F.round("x.score", 6).alias("score"))
 
 

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -11,6 +12,7 @@ import xxhash
 from oracle import DATA
 
 from corpusloom.functions import text as T
+from corpusloom.operators import classify as C
 from corpusloom.operators import labeling as L
 from corpusloom.operators import planner as P
 from corpusloom.operators import sentences as S
@@ -148,6 +150,22 @@ def test_irr_sample_of_many_picks_and_cells(spark):
     assert set(got) == want and len(got) == len(want) == 30_000
 
 
+@pytest.mark.parametrize("name", ["concreteness", "hashed_vector"])
+def test_work_on_a_sentence_is_in_proportion_to_its_words(spark, name):
+    """20,000 words in one sentence: their tokens are made once, not once for each word or bucket."""
+    words = ["of", "AI", "may", "is", "x1"]
+    text = " ".join(words * 4000)
+    use = {"concreteness": lambda x: S.concreteness(x, ["of", "ai may"], ["is"]), "hashed_vector": lambda x: C.hashed_vector(x)}[name]
+    one = spark.createDataFrame([(text,)], "sentence string").repartition(2)
+    begin = time.monotonic()
+    got = one.select(use(F.col("sentence")).alias("x")).first()["x"]
+    assert time.monotonic() - begin < 20
+    if name == "concreteness":
+        assert got["concrete"] == 8000 and got["vague"] == 4000 + got["fuzzy"] and got["score"] == got["concrete"] / (got["concrete"] + got["vague"])
+    else:
+        assert sum(got) == 20_000 and len(got) == 64 and sum(x > 0 for x in got) <= 5
+
+
 def test_many_paths_cost_nothing(spark):
     edges = [e for k in range(40) for e in ((f"n{k:02d}", f"a{k:02d}"), (f"n{k:02d}", f"b{k:02d}"), (f"a{k:02d}", f"n{k + 1:02d}"), (f"b{k:02d}", f"n{k + 1:02d}"))]
     nodes = sorted({x for e in edges for x in e})
