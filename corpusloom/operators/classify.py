@@ -235,7 +235,7 @@ def classify_files(sentences: DataFrame, plan: DataFrame, key: str, scores: tupl
 def hashed_vector(sentence: Column, dims: int = 64) -> Column:
     """Stand-in for a sentence encoder: token counts in ``dims`` hash buckets, JVM-side."""
     bucket = F.transform(T.tokens(T.normalize_sentence(F.coalesce(sentence, F.lit("")))), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(bucket, lambda b: b == k)).cast("float"))
+    return T.with_value(bucket, lambda v: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(v, lambda b: b == k)).cast("float")))
 
 
 def embed(rows: DataFrame, sentence: str, encode, column: str = "embedding") -> DataFrame:

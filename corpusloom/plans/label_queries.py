@@ -13,6 +13,7 @@ from corpusloom.operators import sentences as S
 from corpusloom.operators import windows as W
 from corpusloom.operators.planner import duration_seconds
 from corpusloom.plans.registry import query
+from corpusloom.sources.scratch import Scratch
 from corpusloom.plans.table_queries import _PANEL, _panel
 from corpusloom.sources import readers, writers
 
@@ -151,4 +152,5 @@ def e7_hashed_centroids(t):
     """Keyword sentences as hashed vectors, their centroids by language, and the nearest centroid of each: a confusion count."""
     s = S.keyword_filter(S.explode_sentences(t.texts.select("doc_id", "lang", "text")).drop("text"), list(S.AI_KEYWORDS))
     v = s.select("doc_id", "sentence_index", F.col("lang").alias("label"), C.hashed_vector(F.col("sentence")).alias("embedding"))
+    v = Scratch(t.spark, "e7").write(v, "vectors")  # read twice: the texts are cut and hashed once
     return C.nearest_centroid(v, "embedding", A.centroids(v, "label", "embedding", 64)).groupBy("label", "nearest").agg(F.count("*").alias("n"))
