@@ -77,6 +77,17 @@ def test_op1_method_finds_random_strings_and_leaves_prose(spark):
         assert found == ([planted[i]] if i in planted else [])
 
 
+def test_op1_tests_the_parts_of_a_run_that_has_an_encoding(spark):
+    """A random string joined to words by separators: the run as a whole isn't random, its last part is."""
+    r = random.Random(8)
+    words = (PROSE + " " + OTHER).split()
+    front = "the-configuration-of-all-internal-services-and-their-nightly-backups-in-the-other-data-centre-of-the-house-"
+    planted = {i: "".join(r.choice(S.ENCODINGS["base62"]) for _ in range(88)) for i in range(5)}
+    rows = [(i, " ".join(r.choice(words) for _ in range(80)) + (f" at {front}{planted[i]} end" if i in planted else " internationalisation-and-localisation")) for i in range(120)]
+    got = {x.doc_id: x for x in S.find_secrets(spark, documents(spark, rows)).collect()}
+    assert {i: [text[f.start : f.end] for f in got[i].found] for i, text in rows} == {i: [planted[i]] if i in planted else [] for i, _ in rows}
+
+
 def test_battery_accepts_random_and_rejects_patterns():
     r = random.Random(6)
     ok = [S.battery("".join(r.choice("0123456789abcdef") for _ in range(64)), "hex")[3] for _ in range(300)]
