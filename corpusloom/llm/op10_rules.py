@@ -260,8 +260,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_by_rules(docs: DataFrame, sample: Sample) -> DataFrame:
-    """The rows of ``docs``, all columns, that the rules and the content share keep."""
-    model = fit(sample.rows)
+    """The rows of ``docs``, all columns, that the rules and the content share keep, by a chain fitted on ``sample``."""
+    return keep_content(docs, fit(sample.rows))
+
+
+def keep_content(docs: DataFrame, model: dict) -> DataFrame:
+    """The same by a fitted chain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):

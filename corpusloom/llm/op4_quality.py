@@ -184,8 +184,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def keep_quality(docs: DataFrame, sample: Sample, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores at least ``threshold``. No join: the text is scored in place."""
-    model = fit(*sample)
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold`` by a network fitted on ``sample``."""
+    return keep_scored(docs, fit(*sample), threshold)
+
+
+def keep_scored(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The same by a fitted network. No join: the text is scored in place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, limit=1 << 20):

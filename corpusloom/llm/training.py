@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,22 +26,39 @@ class Sample(NamedTuple):
     share: float | None
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL, text_chars: int = TEXT_CHARS) -> Sample:
-    """(text, quality) of at most ``2 * rows_per_label`` rows that aren't held out, chosen by a hash of doc_id.
-
-    A doc_id labelled twice counts with its lowest label; null labels don't count.
-    """
+def _chosen(docs: DataFrame, labels: DataFrame, rows_per_label: int, text_chars: int) -> tuple[list[DataFrame], float | None]:
+    """(at, doc_id, text) of label 0 and of label 1, in order, and the share of label 1."""
     known = labels.selectExpr("cast(doc_id as long) doc_id", "cast(quality as int) quality").where("doc_id is not null and quality in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = F.xxhash64("doc_id", F.lit(17))
     chosen = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(3 * rows_per_label) for q in (0, 1)]
     some = chosen[0].unionByName(chosen[1])  # at most 6 * rows_per_label rows of two numbers
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where(F.length("text") <= text_chars)
-    rows = texts.join(F.broadcast(some), "doc_id").where("text is not null")
-    out: list[tuple[str, int]] = []
-    for q in (0, 1):
-        out += [(r["text"], q) for r in rows.where(F.col("quality") == q).orderBy(order, "doc_id", "text").limit(rows_per_label).select("text").collect()]
-    return Sample(out, known.agg(F.avg("quality")).first()[0])
+    rows = texts.join(F.broadcast(some), "doc_id").where("text is not null").withColumn("at", order)
+    parts = [rows.where(F.col("quality") == q).orderBy("at", "doc_id", "text").limit(rows_per_label).select("at", "doc_id", "text") for q in (0, 1)]
+    return parts, known.agg(F.avg("quality")).first()[0]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL, text_chars: int = TEXT_CHARS) -> Sample:
+    """(text, quality) of at most ``2 * rows_per_label`` rows that aren't held out, chosen by a hash of doc_id.
+
+    A doc_id labelled twice counts with its lowest label; null labels don't count.
+    """
+    parts, share = _chosen(docs, labels, rows_per_label, text_chars)
+    return Sample([(r["text"], q) for q, part in enumerate(parts) for r in part.select("text").collect()], share)
+
+
+def fit_on_sample(docs: DataFrame, labels: DataFrame, fit: Callable[[Sample], dict], rows_per_label: int = ROWS_PER_LABEL, text_chars: int = TEXT_CHARS) -> dict:
+    """``fit`` of :func:`labelled_sample`'s rows, in one task: the driver gets the weights and never the texts."""
+    parts, share = _chosen(docs, labels, rows_per_label, text_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(Sample([(text, q) for q, _, _, text in rows], share)))], pa.binary())], names=["model"])
+
+    both = parts[0].select(F.lit(0).alias("q"), "*").unionByName(parts[1].select(F.lit(1).alias("q"), "*"))
+    found = both.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit(Sample([], share))  # an empty plan has no task
 
 
 class Adam:

@@ -73,6 +73,19 @@ def test_stages(spark, folder):
     assert sum(r.length for r in packed) == sum(len(enc.encode(r.text)) + 1 for r in data)
 
 
+def test_no_text_comes_to_the_driver(spark, folder, monkeypatch):
+    """Both classifiers are fitted in a task, as on the collected sample."""
+    want = C._sample(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    seen, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: seen.extend(out := collect(self)) or out)
+    stages = [stage(spark, docs, folder) for _, stage in C.STAGES[:2]]
+    assert not any(isinstance(x, str) for r in seen for x in r)
+    monkeypatch.undo()
+    for got, keep in zip(stages, (Q.keep_quality, R.keep_by_rules), strict=True):
+        assert sorted(got.collect(), key=repr) == sorted(keep(docs, want).collect(), key=repr)
+
+
 def test_run(spark, folder):
     out = C.run(spark, folder)
     assert out.columns[:3] == ["doc_id", "start", "length"]
