@@ -1,6 +1,7 @@
 """Queries that SQL can't express, compared with plain Python on the same tables."""
 
 import math
+import random
 import re
 import time
 from collections import Counter
@@ -17,7 +18,7 @@ from corpusloom.operators import labeling as L
 from corpusloom.operators import planner as P
 from corpusloom.operators import sentences as S
 from corpusloom.operators import windows as W
-from corpusloom.operators.neardup import Bounds, near_text_pairs, ratio
+from corpusloom.operators.neardup import Bounds, _meetings, near_text_pairs, ratio
 from corpusloom.plans import QUERIES
 from pyspark.sql import functions as F
 
@@ -72,6 +73,19 @@ def test_segments_at_every_length(spark):
     assert got == {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if ratio(texts[i], texts[j]) >= 0.95}
 
 
+def test_texts_with_a_common_phrase_do_not_all_meet(spark):
+    """1,000 different texts share a phrase, at all places: half a million pairs would meet by it, and only near ones may leave the join."""
+    r = random.Random(5)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
+    texts = [words(k % 8) + " in accordance with the terms of " + words(12 - k % 8) for k in range(1000)]
+    texts += [t[:40] + "xy" + t[41:] for t in texts[:30]] + ["qz" + t[:-3] for t in texts[30:60]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, s string")
+    assert _meetings(df, Bounds(0.95), 0.95).count() < 5000
+    near = {(k, 1000 + k) for k in range(60)}
+    got = {(x.id_a, x.id_b) for x in near_text_pairs(df).collect()}
+    assert got == {(i, j) for i, j in near if ratio(texts[i], texts[j]) >= 0.95} and len(got) == 60
+
+
 def test_e7_against_plain_vectors(spark):
     pattern = re.compile(S.keyword_pattern(list(S.AI_KEYWORDS)))
     vectors = []
