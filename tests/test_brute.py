@@ -18,7 +18,7 @@ from corpusloom.operators import labeling as L
 from corpusloom.operators import planner as P
 from corpusloom.operators import sentences as S
 from corpusloom.operators import windows as W
-from corpusloom.operators.neardup import Bounds, _meetings, near_text_pairs, ratio
+from corpusloom.operators.neardup import Bounds, _meetings, _posts, _segment_marks, candidate_pairs, near_text_pairs, passes, ratio
 from corpusloom.plans import QUERIES
 from pyspark.sql import functions as F
 
@@ -86,6 +86,43 @@ def test_texts_with_a_common_phrase_do_not_all_meet(spark):
     assert got == {(i, j) for i, j in near if ratio(texts[i], texts[j]) >= 0.95} and len(got) == 60
 
 
+def test_bands_in_passes_lose_no_pair(spark):
+    """Edits gathered at the start, at the end or anywhere, at many lengths, joined a band or two at a time."""
+    r = random.Random(11)
+    letters = lambda n: "".join(r.choice("abcdef ") for _ in range(n))
+    texts = []
+    for n in (10, 19, 28, 40, 57, 80, 113, 160, 240, 420):
+        for kind in range(6):
+            base = letters(n)
+            d = int(0.1 * n)
+            cut = r.randint(0, d)
+            spots = sorted(r.sample(range(n), cut), reverse=True) if kind > 3 else []
+            near = {0: letters(d) + base, 1: base + letters(d), 2: base[d:], 3: letters(d // 2) + base[: n - (d - d // 2)]}.get(kind, base)
+            for k in spots:
+                near = near[:k] + (near[k + 1 :] if kind == 4 else "zz" + near[k + 1 :])
+            texts += [base, near]
+    texts = list(dict.fromkeys(texts))
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if max(ratio(texts[i], texts[j]), ratio(texts[j], texts[i])) >= 0.95}
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, s string")
+    rows = candidate_pairs(df, 0.95, parts=6, least=100).collect()
+    assert len(want) >= 20 and want <= {(x.id_a, x.id_b) for x in rows} and len(rows) == len({(x.id_a, x.id_b) for x in rows})
+
+
+def test_posts_of_a_pass_are_bounded(spark):
+    """Substrings that are nobody's segment aren't posted, and no pass has more than its share if more than a band."""
+    r = random.Random(12)
+    df = spark.createDataFrame([(k, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100 + k % 60))) for k in range(400)], "id long, s string")
+    b = Bounds(0.95)
+    marks = spark.sparkContext.broadcast(_segment_marks(df, b, None, 400 * 17))
+    of = lambda *a: df.mapInArrow(_posts(b, *a), "key long, id long, size int, rough long").count()
+    assert of(False, None, marks) < of(False) / 3  # own segments at least
+    texts_of = {k: 1000 for k in range(20, 60)}
+    cut = passes(b, texts_of, 10, 1)
+    assert [k for low, high in cut for k in range(low, high + 1)] == list(range(20, 61))
+    work = [sum(b.posts(k) * (texts_of.get(k, 0) + texts_of.get(k - 1, 0)) for k in range(low, high + 1)) for low, high in cut]
+    assert all(w <= sum(work) / 10 for w, (low, high) in zip(work, cut, strict=True) if high > low)
+
+
 def test_e7_against_plain_vectors(spark):
     pattern = re.compile(S.keyword_pattern(list(S.AI_KEYWORDS)))
     vectors = []
